@@ -5,15 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chainloom.llm.common import materialize, read
+from chainloom.llm.neardup import near_duplicates
 from chainloom.llm.packing import pack
+from chainloom.llm.suffix import cut_repeats
 from chainloom.llm.toxicity import reject, train
 
+#: Passages of over 50 words go where they repeat; the shortest of these have about so many bytes.
+PASSAGE_BYTES = 240
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents under the toxicity threshold; the model is learnt from the labelled documents of sf_dir."""
     return reject(docs, train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each component, and documents without words."""
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that repeat; those of which nothing but white space is left go."""
+    return cut_repeats(docs, PASSAGE_BYTES, drop_emptied=True)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences."""
     import public_tokenizers
@@ -21,7 +37,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-STAGES = [("toxicity", toxicity), ("packing", packing)]
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", packing)]
 
 #: SQL has no Viterbi decoding, suffix arrays or tokenizers.
 ORACLE_SQL = None
