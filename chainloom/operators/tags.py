@@ -111,9 +111,9 @@ def link_rects(links: DataFrame) -> DataFrame:
 def area_rects(areas: DataFrame, images: DataFrame) -> DataFrame:
     """Areas (page, map_name, map_id, shape, coords) with the rectangle they cover on the visible image that uses their map, by name, else by id."""
     seen = images.where("visible").select("page", F.ltrim(F.col("usemap"), F.lit("#")).alias("uses"), F.col("rect").alias("image"))
-    by = lambda c, name: areas.join(seen.withColumnRenamed("uses", c).withColumnRenamed("image", name), ["page", c], "left")
-    joined = by("map_name", "named").join(seen.withColumnRenamed("uses", "map_id").withColumnRenamed("image", "by_id"), ["page", "map_id"], "left")
-    return joined.withColumn("rect", area_rect(F.col("shape"), F.col("coords"), F.coalesce("named", "by_id"))).where(F.col("rect").isNotNull()).drop("named", "by_id")
+    joined = areas.join(seen.withColumnRenamed("uses", "map_name").withColumnRenamed("image", "named"), ["page", "map_name"], "left").join(seen.withColumnRenamed("uses", "map_id").withColumnRenamed("image", "by_id"), ["page", "map_id"], "left")
+    placed = joined.where(F.coalesce("named", "by_id").isNotNull()).withColumn("rect", area_rect(F.col("shape"), F.col("coords"), F.coalesce("named", "by_id")))
+    return placed.where(F.col("rect").isNotNull()).drop("named", "by_id")
 
 
 def large_iframes(tags: DataFrame, ratio: float = 0.4) -> DataFrame:

@@ -62,8 +62,7 @@ def build_trees(requests: DataFrame) -> DataFrame:
             url, mark, rest = (r.request_url, "", "") if n == 0 else r.request_url.partition("#")
             out.append((key[0], r.seq, n, url, mark + rest, None if parent[n] < 0 else parent[n], r.parent_source, r.resource_type, r.ts, depth[n], path[n], order[n]))
         names = "sample_id seq node_seq url url_fragment parent_seq parent_source resource_type ts depth path path_ord".split()
-        df = pd.DataFrame(out, columns=names)
-        return df.astype({"parent_seq": "Int32"})
+        return pd.DataFrame(out, columns=names, dtype=object)
 
     columns = ["sample_id", "seq", "request_url", "resource_type", "parent_url", "parent_source", "ts"]
     return requests.select(*columns).groupBy("sample_id").applyInPandas(grow, TREE)
@@ -82,7 +81,8 @@ def close_trees(edges: DataFrame) -> DataFrame:
         sound = parent.count(-1) == 1 and -2 not in parent and len(ids) == len(pdf) and all(p < n for n, p in enumerate(parent))
         depth, path, order = closure(parent) if sound else ([], [], [])
         n = len(depth)
-        return pd.DataFrame({"sample_id": [key[0]] * n, "node_seq": ids[:n], "depth": depth, "path": [[ids[x] for x in p] for p in path], "path_ord": order})
+        columns = {"sample_id": [key[0]] * n, "node_seq": ids[:n], "depth": depth, "path": [[ids[x] for x in p] for p in path], "path_ord": order}
+        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in columns.items()})
 
     made = edges.select("sample_id", "node_seq", "parent_seq").groupBy("sample_id").applyInPandas(grow, f"sample_id {edges.schema['sample_id'].dataType.simpleString()}, node_seq long, depth int, path array<long>, path_ord array<int>")
     return edges.join(made, ["sample_id", "node_seq"])
