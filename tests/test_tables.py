@@ -118,3 +118,23 @@ def test_manifest(spark, tmp_path):
     p = tmp_path / "cur.txt"
     p.write_text("d\td_2024\t1\t2\t1\thttp://d/\thttp://e/\ttitle\n")
     assert tables.manifest_samples(spark, str(p)).select("sample_id", "end_url").first() == ("d:d_2024", "http://e/")
+
+
+def test_stream_of_parents(spark, tmp_path):
+    """A log that arrives in two files gives the requests of the whole log, the changed ones again."""
+    rows = [
+        ("s", 0, 0, "Network.requestWillBeSent", "m", None, "l", "Document", "http://d/", None, "other", None, None),
+        ("s", 1, 1, "Network.requestWillBeSent", "m", None, "l", "Script", "http://d/a.js", None, "parser", None, None),
+        ("s", 2, 2, "Network.requestWillBeSent", "m", None, "l2", "Document", "http://d/b", None, "script", None, None),
+        ("s", 3, 3, "Page.downloadWillBegin", None, None, None, None, "http://d/b", None, None, None, None),
+    ]
+    schema = "sample_id string, " + ingest.PageLoad.STATE
+    folder = str(tmp_path / "log")
+    got = []
+    for k, part in enumerate((rows[:3], rows[3:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = ingest.stream_parents(ingest.follow_events(spark, folder, spark.createDataFrame([], schema).schema))
+        query = stream.writeStream.foreachBatch(lambda df, _: got.extend(map(tuple, df.collect()))).outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert len(got) == (3, 4)[k]
+    assert got[-1][1:6] == (2, "http://d/b", "Download", "http://d/", "script")
