@@ -3,9 +3,11 @@
 A document's set of word shingles is hashed by one function; its ``SKETCH`` smallest values are retained. Sets that are equal
 are one class from then on. Inverted lists of retained values generate overlaps: of a sketch, the values that the most
 documents share are left out as far as two linked sketches still share a listed one (``listed_length``), so frequent passages
-don't fill lists. In each list all others meet its smallest document (a star, not all pairs); only those that stay in
-different components meet each other afterwards. The union sketch of a pair estimates its similarity and filters; the rest
-is verified on full sets. Components come from alternating star contractions, whose rounds grow with the logarithm of a chain.
+don't fill lists. In each list all others meet one centre (a star, not all pairs), the document with the most frequent values.
+Only what stays in different components meets again: in short lists directly; documents of crowded lists by families (one for each
+centre), block against block, where the counts of both sets in ``BUCKETS`` hash buckets bound their overlap from above, so that only pairs
+that may be linked leave a task. The union sketch of a pair estimates its similarity and filters; the rest is verified on full
+sets. Components come from alternating star contractions, whose rounds grow with the logarithm of a chain.
 
 Cases: null and empty texts have an empty set and are linked with nothing; fewer words than a shingle are one shingle;
 equal rows and copies share a class; texts of any length are shingled whole; rows without a doc_id can't carry a link and
@@ -35,6 +37,8 @@ SHARED = 42
 ESTIMATE = 0.60
 #: Members of a star that one task verifies.
 SPREAD = 128
+#: Longest list whose members meet directly; documents in one block of a family; hash buckets of the overlap bound.
+SHORT, BLOCK, BUCKETS = 32, 512, 512
 REMEMBER = 500_000
 
 SCHEMA = "doc_id long, n_shingles long, component_id long, kept boolean"
@@ -65,6 +69,16 @@ def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
     return np.unique(h)
 
 
+def bucket_counts(hashes: np.ndarray) -> bytes:
+    """How many hashes fall into each bucket, in bytes where all are below 256, else in four bytes each."""
+    n = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS)
+    return n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32).tobytes()
+
+
+def counts_of(stored: bytes) -> np.ndarray:
+    return np.frombuffer(stored, np.uint8 if len(stored) == BUCKETS else np.uint32)
+
+
 def listed_length(n: int) -> int:
     """How many values of a sketch, in one order for all, must be listed so that linked sketches meet in a list."""
     held = min(n, SKETCH)
@@ -72,36 +86,37 @@ def listed_length(n: int) -> int:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class_key, sketch): class_key is a 128-bit digest of the set."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_key", pa.binary()), ("sketch", pa.list_(pa.int64()))])
+    """(doc_id, n_shingles, class_key, sketch, buckets): class_key is a 128-bit digest of the set."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_key", pa.binary()), ("sketch", pa.list_(pa.int64())), ("buckets", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t) for t in b.column(1).to_pylist()]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield batch(arrow, [b.column(0), [len(s) for s in sets], keys, pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64()))])
+            yield batch(arrow, [b.column(0), [len(s) for s in sets], keys, pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64())), [bucket_counts(s) for s in sets]])
 
-    return arrow_map(docs, run, "doc_id long, n_shingles long, class_key binary, sketch array<long>")
+    return arrow_map(docs, run, "doc_id long, n_shingles long, class_key binary, sketch array<long>, buckets binary")
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(value, id, n): the listed values of each class, the most frequent values last."""
+    """(value, id, n, common): the listed values of each class, the most frequent values last; common: its number of frequent values."""
     counted = classes.select(F.explode("sketch").alias("value")).groupBy("value").count()
     frequent = counted.where(F.col("count") >= FREQUENT_FROM).orderBy(F.desc("count"), "value").limit(MAX_FREQUENT).collect()
     rank = {r["value"]: k for k, r in enumerate(reversed(frequent), 1)}
-    arrow = pa.schema([("value", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
+    arrow = pa.schema([("value", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("common", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            value, ids, ns = [], [], []
+            value, ids, ns, common = [], [], [], []
             for i, n, sketch in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 chosen = sorted(sketch, key=lambda v: (rank.get(v, 0), v))[: listed_length(n)]
                 value += chosen
                 ids += [i] * len(chosen)
                 ns += [n] * len(chosen)
-            yield batch(arrow, [value, ids, ns])
+                common += [sum(v in rank for v in sketch)] * len(chosen)
+            yield batch(arrow, [value, ids, ns, common])
 
-    return arrow_map(classes.select("id", "n", "sketch"), run, "value long, id long, n long")
+    return arrow_map(classes.select("id", "n", "sketch"), run, "value long, id long, n long, common int")
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -114,10 +129,55 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where((in_union >= ESTIMATE * F.size(union)) & (shared > 0)).select("a", "b")
 
 
+def family_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one family (family, id, component) in different components whose bucket counts allow a link.
+
+    Each block of documents meets each block of its family in a task; a task holds two blocks at most."""
+    sizes = materialize(members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "family-sizes")
+    dealt = members.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    data = dealt.join(classes.select("id", "n", "buckets"), "id")
+    met = data.select("family", "id", "component", "n", "buckets", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component", "n", "buckets")
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(rows: list[tuple], high: int) -> list[tuple[int, int]]:
+        x = [r for r in rows if r[0] != high] or rows
+        y = [r for r in rows if r[0] == high]
+        same = x is rows
+        cy, ny, iy = np.array([r[2] for r in y]), np.array([r[3] for r in y]), np.array([r[1] for r in y])
+        if len(set(cy.tolist()) | {r[2] for r in x}) == 1:
+            return []
+        held = np.stack([counts_of(r[4]).astype(np.uint32) for r in y]) if any(len(r[4]) != BUCKETS for r in rows) else np.stack([counts_of(r[4]) for r in y])
+        found = []
+        for _, i, c, n, stored in x:
+            at = np.flatnonzero((cy != c) & (100 * np.minimum(ny, n) >= SIMILAR * np.maximum(ny, n)) & ((iy > i) | (not same)))
+            if len(at):
+                bound = np.minimum(held[at], counts_of(stored).astype(held.dtype)).sum(1, dtype=np.int64)
+                for k in at[(100 + SIMILAR) * bound >= SIMILAR * (ny[at] + n)].tolist():
+                    found.append((min(i, int(iy[k])), max(i, int(iy[k]))))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for family, low, high, *row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                if group != (family, low, high):
+                    found += compare(rows, group[2]) if rows else []
+                    group, rows = (family, low, high), []
+                rows.append(tuple(row))
+            if found:
+                yield batch(arrow, list(zip(*found, strict=True)))
+        if rows and (found := compare(rows, group[2])):
+            yield batch(arrow, list(zip(*found, strict=True)))
+
+    return arrow_map(met.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high"), run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets are similar. A star's members are dealt over tasks, each with its centre's text."""
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / SPREAD))
-    dealt = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("many")), "a").select("a", "b", salt.alias("salt"))
+    dealt = pairs.join(materialize(pairs.groupBy("a").agg(F.count("*").alias("many")), "star-sizes"), "a").select("a", "b", salt.alias("salt"))
     centres = dealt.select("a", "salt").distinct()
     asks = dealt.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role")).unionByName(centres.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("role")))
     texts = asks.join(docs, "doc_id").select("a", "salt", "role", F.col("doc_id").alias("b"), "text")
@@ -149,9 +209,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = mark(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "edges")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = materialize(small, "edges")
@@ -170,22 +231,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     keys = materialize(linked.groupBy("class_key").agg(F.min("doc_id").alias("id")), "classes")
     classes = materialize(
-        linked.join(keys.withColumnRenamed("id", "doc_id"), ["class_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "class_key"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "class-sketches"
+        linked.join(keys.withColumnRenamed("id", "doc_id"), ["class_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "class_key"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "buckets"), "class-sketches"
     )
     lists = materialize(postings(classes), "lists")
-    centres = lists.groupBy("value").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("many")).where("many > 1").select("value", F.col("c.id").alias("a"), F.col("c.n").alias("na"))
+    best = F.max(F.struct("common", (-F.col("id")).alias("id"), "n"))
+    centres = materialize(lists.groupBy("value").agg(best.alias("c"), F.count("*").alias("many")).where("many > 1").select("value", "many", (-F.col("c.id")).alias("a"), F.col("c.n").alias("na")), "centres")
     alike = lambda x, y: 100 * F.least(x, y) >= SIMILAR * F.greatest(x, y)
-    stars = materialize(estimated(lists.join(centres, "value").where((F.col("id") != F.col("a")) & alike(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct(), classes), "stars")
+    met = materialize(lists.select("value", "id", "n").join(centres, "value"), "met")
+    stars = materialize(estimated(met.where((F.col("id") != F.col("a")) & alike(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct(), classes), "stars")
     links = materialize(verified(stars, texts), "links")
     first = materialize(components(links), "first-components")
     # what a star left apart: members of one list in different components, and not compared yet
-    placed = lists.join(first, "id", "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value")
+    placed = materialize(met.join(first, "id", "left").select("value", "id", "n", "many", "a", F.coalesce("component", "id").alias("component")), "placed")
+    mixed = materialize(placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value"), "mixed")
     rest = materialize(placed.join(mixed, "value"), "apart")
-    x = rest.select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = rest.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    met = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    more = materialize(estimated(met.join(stars, ["a", "b"], "left_anti"), classes), "crossing")
+    x = rest.where(F.col("many") <= SHORT).select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    y = rest.where(F.col("many") <= SHORT).select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    near = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    crowd = materialize(rest.where(F.col("many") > SHORT).select(F.col("a").alias("family"), "id", "component").distinct(), "families")
+    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crossing = estimated(near, classes).unionByName(family_pairs(crowd, classes)).distinct().join(known, ["a", "b"], "left_anti")
+    more = materialize(crossing, "crossing")
     found = components(links.unionByName(verified(more, texts))) if more.limit(1).count() else first
     root = keys.join(found, "id", "left").select("class_key", F.coalesce("component", "id").alias("component_id"))
     joined = sets.join(root, "class_key", "left")
