@@ -8,7 +8,8 @@ Distribution: equal strings must meet in one task. Every window of ``min_bytes``
 ``gram``-byte string in it, so equal windows name equal anchors at equal places. Neighbouring windows with one anchor
 are one context: its bytes cover all of them. Contexts go by their anchor's fingerprint, those alone with it are dropped, and equal
 contexts are counted before they move and represented once; the suffixes that begin the windows of different contexts of a fingerprint
-are then sorted. A fingerprint with more than ``GROUP`` different contexts is split by the hash of each whole window.
+are then sorted. A fingerprint with more than ``GROUP`` different contexts is split by longer strings: parts of ``PART``
+neighbouring windows by the string they all hold, and where these are still crowded, single windows.
 
 Cases: null and empty texts have no bytes; texts shorter than the string lose nothing; equal rows repeat each other; runs
 of one byte and periodic texts have one context that is counted; very long texts are read in overlapping segments; rows
@@ -30,6 +31,8 @@ from chainloom.llm.common import arrow_map, batch, materialize, mix64, read
 MIN_BYTES = 400
 #: Different contexts of one fingerprint that are sorted together, and bytes that one array is built over.
 GROUP, ARRAY_BYTES = 256, 1 << 19
+#: Windows of a part, where a fingerprint has more contexts.
+PART = 16
 #: Windows of a document that are looked at together.
 SEGMENT = 1 << 22
 POSITION = np.uint64((1 << 23) - 1)
@@ -97,6 +100,12 @@ def contexts(data: bytes, min_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarr
         yield h[place[first]], first + at, np.diff(np.concatenate([first, [len(place)]]))
 
 
+def anchor_of(data: bytes, min_bytes: int) -> int:
+    """The place of the anchor in a context's bytes."""
+    gram = gram_of(min_bytes)
+    return int(np.argmin(gram_hashes(np.frombuffer(data, np.uint8), gram)[: min_bytes - gram + 1] >> np.uint64(23)))
+
+
 # ---- two-stage suffix sorting ---------------------------------------------------------------------------------------------------------
 
 
@@ -275,30 +284,60 @@ def sort_groups(rows: DataFrame, min_bytes: int) -> DataFrame:
     return arrow_map(rows.repartition("fp").sortWithinPartitions("fp"), run, MARKS)
 
 
-def window_hashes(rows: DataFrame, min_bytes: int) -> DataFrame:
-    """(fp, ctx, count, i, h1, h2) of every window of the contexts given; h1 and h2 hash all of its bytes."""
-    arrow = pa.schema([("fp", pa.int64()), ("ctx", pa.int64()), ("count", pa.int64()), ("i", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+def split_contexts(rows: DataFrame, width: int, min_bytes: int) -> DataFrame:
+    """Contexts (fp, ctx, count, bytes) in parts of ``width`` windows, counted from the anchor: (fp, ctx, count, i, core, sub, n,
+    bytes). All windows that a part may have hold its core, so equal windows are in parts of equal cores."""
+    names = ("fp", "ctx", "count", "i", "core", "sub", "n", "bytes")
+    arrow = pa.schema([(c, pa.binary() if c == "bytes" else pa.int64()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            out: list[tuple] = []
             for fp, ctx, count, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                n = len(data) - min_bytes + 1
-                h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[i : i + min_bytes]) for i in range(n)]), np.int64).reshape(n, 2)
-                yield batch(arrow, [[fp] * n, [ctx] * n, [count] * n, list(range(n)), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))])
-
-    return arrow_map(rows, run, "fp long, ctx long, count long, i int, h1 long, h2 long")
+                windows, anchor = len(data) - min_bytes + 1, anchor_of(data, min_bytes)
+                for first in range(anchor % width - (width if anchor % width else 0), windows, width):
+                    i, end = max(first, 0), min(first + width, windows)
+                    core = xxhash.xxh3_64_intdigest(data[first + width - 1 : first + min_bytes])
+                    part = data[i : end - 1 + min_bytes]
+                    out.append((fp, ctx, count, i, core - (1 << 63), xxhash.xxh3_64_intdigest(part) - (1 << 63), end - i, part))
+            if out:
+                yield batch(arrow, list(zip(*out, strict=True)))
+
+    return arrow_map(rows, run, ", ".join(f"{c} {'binary' if c == 'bytes' else 'long'}" for c in names))
+
+
+def crowded_marks(rows: DataFrame, width: int, min_bytes: int) -> DataFrame:
+    """Marks of contexts (fp, ctx, count, bytes) whose fingerprints have too many for one array: parts of ``width`` windows are
+    grouped by the longer string that all of their windows hold; what is still crowded is split into single windows."""
+    parts = materialize(split_contexts(rows, width, min_bytes), "context-parts")
+    distinct = materialize(parts.groupBy("core", "sub").agg(F.sum("count").alias("count"), F.max("n").alias("n"), F.min("bytes").alias("bytes")), "distinct-parts")
+    kinds = materialize(distinct.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("count").alias("all")).where("all > 1").drop("all"), "part-kinds")
+    many = materialize(distinct.join(kinds, "core").select(F.col("core").alias("fp"), F.col("sub").alias("ctx"), "count", "n", "kinds", "bytes"), "counted-parts")
+    marks = whole_marks(many.where("kinds = 1")).unionByName(sort_groups(many.where((F.col("kinds") > 1) & (F.col("kinds") <= GROUP)).select("fp", "ctx", "count", "bytes"), min_bytes))
+    rest = many.where(F.col("kinds") > GROUP).select("fp", "ctx", "count", "bytes")
+    if width > 1 and rest.limit(1).count():
+        marks = marks.unionByName(crowded_marks(rest, 1, min_bytes))
+    marks = materialize(marks.select(F.col("fp").alias("core"), F.col("ctx").alias("sub"), "marks"), "part-marks")
+    i = F.col("i").cast("int")
+    moved = parts.select("fp", "ctx", "i", "core", "sub").join(marks, ["core", "sub"]).select("fp", "ctx", F.transform("marks", lambda m: F.struct((m["a"] + i).alias("a"), (m["b"] + i).alias("b"))).alias("marks"))
+    return moved.groupBy("fp", "ctx").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+
+
+def whole_marks(rows: DataFrame) -> DataFrame:
+    """Equal contexts only (fp, ctx, count, n): each of their windows occurs as often as they do."""
+    return rows.where(F.col("count") > 1).select("fp", "ctx", F.array(F.struct(F.lit(0).alias("a"), F.col("n").cast("int").alias("b"))).alias("marks"))
 
 
 def repeated_windows(docs: DataFrame, min_bytes: int) -> DataFrame:
     """(key, spans array<struct<a,b>>): window starts [a, b) of a document that occur elsewhere too. ``docs``: (key, text)."""
     found = materialize(occurrences(docs, min_bytes), "contexts")
     shared = found.groupBy("fp").agg(F.count("*").alias("all")).where("all > 1").select("fp")
+    shared = materialize(shared, "shared-fingerprints")
     placed = materialize(found.join(shared, "fp"), "shared-contexts")
     distinct = materialize(placed.groupBy("fp", "ctx").agg(F.count("*").alias("count"), F.min(F.struct("key", "at", "n")).alias("one")).select("fp", "ctx", "count", "one.*"), "distinct-contexts")
-    kinds = distinct.groupBy("fp").agg(F.count("*").alias("kinds"))
+    kinds = materialize(distinct.groupBy("fp").agg(F.count("*").alias("kinds")), "fingerprint-kinds")
     many = materialize(distinct.join(kinds, "fp"), "counted-contexts")
-    # equal contexts only: each window occurs as often as they do
-    alone = many.where((F.col("kinds") == 1) & (F.col("count") > 1)).select("fp", "ctx", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("marks"))
+    alone = whole_marks(many.where(F.col("kinds") == 1))
     asked = many.where(F.col("kinds") > 1).groupBy("key").agg(F.collect_list(F.struct("fp", "ctx", "count", "kinds", "at", "n")).alias("parts"))
     data = docs.select("key", F.col("text").cast("binary").alias("data"))
     cut = F.explode(F.transform("parts", lambda p: F.struct(p["fp"].alias("fp"), p["ctx"].alias("ctx"), p["count"].alias("count"), p["kinds"].alias("kinds"), F.substring(F.col("data"), p["at"] + 1, p["n"] + (min_bytes - 1)).alias("bytes"))))
@@ -308,10 +347,7 @@ def repeated_windows(docs: DataFrame, min_bytes: int) -> DataFrame:
     marks = alone.unionByName(few)
     crowded = texts.where(F.col("kinds") > GROUP).select("fp", "ctx", "count", "bytes").dropDuplicates(["fp", "ctx"])
     if crowded.limit(1).count():
-        hashed = materialize(window_hashes(crowded, min_bytes), "window-hashes")
-        twice = hashed.groupBy("h1", "h2").agg(F.sum("count").alias("times")).where("times > 1").select("h1", "h2")
-        single = hashed.join(twice, ["h1", "h2"]).select("fp", "ctx", F.array(F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"))).alias("marks"))
-        marks = marks.unionByName(single.groupBy("fp", "ctx").agg(F.flatten(F.collect_list("marks")).alias("marks")))
+        marks = marks.unionByName(crowded_marks(crowded, PART, min_bytes))
     marks = materialize(marks, "marks")
     where = placed.join(marks, ["fp", "ctx"]).select("key", F.transform("marks", lambda m: F.struct((m["a"] + F.col("at")).alias("a"), (m["b"] + F.col("at")).alias("b"))).alias("spans"))
     return where.groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
@@ -337,10 +373,11 @@ def kept_bytes(data: bytes, spans: list | None, min_bytes: int) -> tuple[bytes,
 
 
 def with_spans(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """``docs`` with a column of each row's repeated windows, all other columns together in one struct."""
+    """The columns of ``docs`` and, last, each row's repeated windows (null where there are none). In between, all columns of a row
+    are one struct, so their names can't clash."""
     keyed = docs.select(row_key(docs).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     spans = repeated_windows(keyed, min_bytes)
-    return docs.select(row_key(docs).alias("key"), *docs.columns).join(spans.withColumnRenamed("spans", "repeated spans"), "key", "left").drop("key")
+    return docs.select(row_key(docs).alias("key"), F.struct(*docs.columns).alias("row")).join(spans, "key", "left").select("row.*", "spans")
 
 
 def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -356,7 +393,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
                 out.append((len(data), removed, n, kept))
             yield batch(arrow, [b.column(0), *(list(zip(*out, strict=True)) if out else [[], [], [], []])])
 
-    table = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_bytes).select("doc_id", "text", "repeated spans")
+    table = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_bytes)
     return arrow_map(table, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
@@ -370,17 +407,18 @@ def cut_repeats(docs: DataFrame, min_bytes: int, drop_emptied: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, spans in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+            cuts = b.column(len(names)).to_pylist()
+            for text, spans in zip(b.column(at).to_pylist(), cuts, strict=True):
                 texts.append(text if not spans else kept_bytes(text.encode("utf-8", "surrogatepass"), spans, min_bytes)[0].decode("utf-8", "ignore"))
             columns = [b.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
             if count is not None:
-                columns[count] = pa.array([None if t is None else len(t) for t in texts], columns[count].type)
+                columns[count] = pa.array([len(t) if s else n for t, s, n in zip(texts, cuts, columns[count].to_pylist(), strict=True)], columns[count].type)
             out = pa.RecordBatch.from_arrays(columns, names=names)
-            emptied = [bool(s) and not t.strip() for s, t in zip(b.column(len(names)).to_pylist(), texts, strict=True)] if drop_emptied else []
+            emptied = [bool(s) and not t.strip() for s, t in zip(cuts, texts, strict=True)] if drop_emptied else []
             yield out.filter(pa.array([not e for e in emptied])) if any(emptied) else out
 
-    return arrow_map(table.select(*names, "repeated spans"), run, docs.schema)
+    return arrow_map(table, run, docs.schema)
 
 
 def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
