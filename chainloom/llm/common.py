@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -57,12 +58,40 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn``, after which the worker gives free memory back: workers stay for later tasks of any kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # only GNU's C library has it
+            pass
+
+    return run
+
+
+def most_frequent(counts: DataFrame, column: str, bound: int) -> list:
+    """Rows with the largest ``column`` (a count), ``bound`` at most, all with a count over some limit.
+
+    The limit comes from a histogram of the counts by eighths of powers of two, so no task sends rows that are not kept."""
+    step = F.floor(F.log2(F.col(column)) * 8).cast("int")
+    taken, limit = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        taken += r["count"]
+        if taken > bound:
+            break
+        limit = r["step"]
+    return [] if limit is None else counts.where(step >= limit).collect()
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with small batches."""
     spark = df.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(released(fn), schema)
 
 
 def batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:

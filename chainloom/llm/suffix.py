@@ -334,7 +334,7 @@ def repeated_windows(docs: DataFrame, min_bytes: int) -> DataFrame:
     shared = found.groupBy("fp").agg(F.count("*").alias("all")).where("all > 1").select("fp")
     shared = materialize(shared, "shared-fingerprints")
     placed = materialize(found.join(shared, "fp"), "shared-contexts")
-    distinct = materialize(placed.groupBy("fp", "ctx").agg(F.count("*").alias("count"), F.min(F.struct("key", "at", "n")).alias("one")).select("fp", "ctx", "count", "one.*"), "distinct-contexts")
+    distinct = materialize(placed.groupBy("fp", "ctx").agg(F.count("*").alias("count"), F.min("key").alias("key"), F.min_by("at", "key").alias("at"), F.max("n").alias("n")), "distinct-contexts")
     kinds = materialize(distinct.groupBy("fp").agg(F.count("*").alias("kinds")), "fingerprint-kinds")
     many = materialize(distinct.join(kinds, "fp"), "counted-contexts")
     alone = whole_marks(many.where(F.col("kinds") == 1))
