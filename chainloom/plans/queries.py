@@ -11,7 +11,7 @@ from chainloom.functions import urls as U
 from chainloom.functions.geometry import covers_view, intersection, rect
 from chainloom.functions.suffix import with_suffix
 from chainloom.operators import chaingraph, hmg, initiators, ml, requests, tags, tree
-from chainloom.sources import adapters
+from chainloom.sources import adapters, logs
 from chainloom.sources.adapters import CHAIN_STEPS_SQL, EVENT_LOG_SQL, HMG_SQL, REQUESTS_SQL, TREE_SQL, table
 from chainloom.sources.tables import last_of_key
 
@@ -474,3 +474,61 @@ SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session
 def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+# ---- logs as a crawler leaves them, made of events
+
+
+def _crawl(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Events, requests, trees and end urls of printed log lines; the whole way from text to trees."""
+    log = event_lines(spark, sf_dir)
+    parsed = requests.target_events(logs.events(log, F.col("domain")))
+    asked = requests.resolve_parents(parsed)
+    ends = asked.where("resource_type = 'Document'").groupBy("sample_id").agg(F.max_by("request_url", "seq").alias("end_url"))
+    return parsed, asked, tree.build_trees(asked), ends
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(folder, domain, seq, line): printed dicts of browser messages, one for each event."""
+    log = adapters.event_log(spark, sf_dir)
+    url = F.concat("url", F.lit("/"))
+    text = lambda c: F.to_json(c)
+    frame = F.lit("f").alias("frameId")
+    request = F.concat(F.lit("r"), F.col("seq").cast("string"))
+    earlier = F.coalesce(F.last(F.when(F.col("kind") == "view", url), ignorenulls=True).over(adapters.before("sample_id")), F.lit(""))
+    log = log.withColumn("earlier", earlier)
+    calls = F.struct(F.array(F.struct(F.col("earlier").alias("url"))).alias("callFrames")).alias("stack")
+    sent = F.struct(
+        request.alias("requestId"), frame, F.concat(F.lit("l"), F.col("seq").cast("string")).alias("loaderId"), F.lit("Document").alias("type"), url.alias("documentURL"),
+        F.struct(url.alias("url"), F.lit("GET").alias("method"), F.create_map().cast("map<string,string>").alias("headers")).alias("request"), F.struct(F.lit("script").alias("type"), calls).alias("initiator"),
+    )
+    params = (
+        F.when(F.col("kind") == "view", text(sent)).when(F.col("kind") == "click", text(F.struct(frame, url.alias("url"), F.lit("scriptInitiated").alias("reason"))))
+        .when(F.col("kind") == "error", text(F.struct(F.concat(F.lit("r"), (F.col("seq") - 1).cast("string")).alias("requestId"))))
+        .when(F.col("kind") == "purchase", text(F.struct(url.alias("url")))).otherwise(text(F.struct(frame, F.concat(url, F.lit("#a")).alias("url"))))
+    )
+    methods = {"view": requests.SENT, "click": requests.NAVIGATION, "error": requests.FAILED, "purchase": requests.DOWNLOAD, "signup": requests.ANCHOR}
+    method = F.coalesce(*[F.when(F.col("kind") == k, F.lit(m)) for k, m in methods.items()])
+    domain = F.substring(F.first(F.when(F.col("kind") == "view", F.col("url")), ignorenulls=True).over(Window.partitionBy("sample_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), 8, 1000)
+    line = F.concat(F.lit("{'level': 'INFO', 'message': '{\"message\": {\"method\": \""), method, F.lit("\", \"params\": "), params, F.lit("}}', 'timestamp': "), F.col("ts_ms").cast("string"), F.lit("}"))
+    return log.select(F.col("sample_id").cast("string").alias("folder"), domain.alias("domain"), "seq", line.alias("line"))
+
+
+@query()
+def crawl_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with parents of printed logs."""
+    return _crawl(spark, sf_dir)[1]
+
+
+@query()
+def crawl_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains from the start to the last document of printed logs."""
+    _, asked, trees, ends = _crawl(spark, sf_dir)
+    return initiators.chains(trees, asked, ends).select("sample_id", F.array_join("urls", " ").alias("urls"), F.array_join("methods", ";").alias("methods"), "hops", "has_iframe", "has_download", "download_url")
+
+
+@query()
+def crawl_initiators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who issued each hop of these chains."""
+    parsed, _, trees, ends = _crawl(spark, sf_dir)
+    return initiators.hop_initiators(trees, parsed, ends)
