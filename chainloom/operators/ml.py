@@ -44,13 +44,25 @@ def accuracy(rows: DataFrame) -> DataFrame:
     return rows.agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
 
 
+#: Bins that scores are summed by before any order over all of them is needed.
+ROC_BINS = 4096
+
+
 def roc(rows: DataFrame) -> DataFrame:
-    """(threshold, fp, tp): rates at each distinct score, and the point before all. Scores are summed up before they meet in one order;
-    their number is that of distinct scores."""
+    """(threshold, fp, tp): rates at each distinct score, and the point before all.
+
+    Running sums are taken within bins of scores and over the sums of bins, so no task orders all scores."""
     by = rows.groupBy("score").agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.sum((F.col("label") != 1).cast("long")).alias("n"))
-    total = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    w = Window.orderBy(F.desc("score"))
-    points = by.select("score", F.sum("p").over(w).alias("cp"), F.sum("n").over(w).alias("cn")).crossJoin(F.broadcast(total)).select(F.col("score").alias("threshold"), F.try_divide("cn", "all_n").alias("fp"), F.try_divide("cp", "all_p").alias("tp"))
+    ends = rows.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    width = F.try_divide(F.col("score") - F.col("lo"), F.col("hi") - F.col("lo"))
+    binned = by.crossJoin(F.broadcast(ends)).select("score", "p", "n", F.least(F.lit(ROC_BINS - 1), F.floor(F.coalesce(width, F.lit(0.0)) * ROC_BINS)).cast("int").alias("bin"))
+    sums = binned.groupBy("bin").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))  # at most ROC_BINS rows
+    above, whole = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sums = sums.select("bin", zero(F.sum("bp").over(above)).alias("before_p"), zero(F.sum("bn").over(above)).alias("before_n"), F.sum("bp").over(whole).alias("all_p"), F.sum("bn").over(whole).alias("all_n"))
+    w = Window.partitionBy("bin").orderBy(F.desc("score"))
+    inside = binned.select("score", "bin", F.sum("p").over(w).alias("cp"), F.sum("n").over(w).alias("cn")).join(F.broadcast(sums), "bin")
+    points = inside.select(F.col("score").alias("threshold"), F.try_divide(F.col("cn") + F.col("before_n"), F.col("all_n")).alias("fp"), F.try_divide(F.col("cp") + F.col("before_p"), F.col("all_p")).alias("tp"))
     return points.unionByName(rows.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, fp double, tp double"))
 
 
