@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import arrow_map, batch, doc_table, materialize, mix64, read, words
+from chainloom.llm.common import arrow_map, batch, doc_table, materialize, mix64, most_frequent, read, words
 
 SHINGLE, SIMILAR = 5, 85
 #: Retained values of a document, and those that the most frequent values known to all workers are chosen from.
@@ -101,8 +101,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 def postings(classes: DataFrame) -> DataFrame:
     """(value, id, n, common): the listed values of each class, the most frequent values last; common: its number of frequent values."""
     counted = classes.select(F.explode("sketch").alias("value")).groupBy("value").count()
-    frequent = counted.where(F.col("count") >= FREQUENT_FROM).orderBy(F.desc("count"), "value").limit(MAX_FREQUENT).collect()
-    rank = {r["value"]: k for k, r in enumerate(reversed(frequent), 1)}
+    frequent = most_frequent(materialize(counted.where(F.col("count") >= FREQUENT_FROM), "frequent-values"), "count", MAX_FREQUENT)
+    rank = {r["value"]: k for k, r in enumerate(sorted(frequent, key=lambda r: (r["count"], r["value"])), 1)}
     arrow = pa.schema([("value", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("common", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +234,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         linked.join(keys.withColumnRenamed("id", "doc_id"), ["class_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "class_key"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "buckets"), "class-sketches"
     )
     lists = materialize(postings(classes), "lists")
-    best = F.max(F.struct("common", (-F.col("id")).alias("id"), "n"))
-    centres = materialize(lists.groupBy("value").agg(best.alias("c"), F.count("*").alias("many")).where("many > 1").select("value", "many", (-F.col("c.id")).alias("a"), F.col("c.n").alias("na")), "centres")
+    # the most frequent values first, then a hash: one number, so that the aggregation needs no sort
+    rank = F.shiftleft(F.col("common").cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64("id"), 8))
+    best = lists.groupBy("value").agg(F.max_by("id", rank).alias("a"), F.max_by("n", rank).alias("na"), F.count("*").alias("many"))
+    centres = materialize(best.where("many > 1"), "centres")
     alike = lambda x, y: 100 * F.least(x, y) >= SIMILAR * F.greatest(x, y)
     met = materialize(lists.select("value", "id", "n").join(centres, "value"), "met")
     stars = materialize(estimated(met.where((F.col("id") != F.col("a")) & alike(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct(), classes), "stars")
