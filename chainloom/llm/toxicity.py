@@ -231,9 +231,12 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFram
     """(doc_id, text, toxic) of at most ``per_class`` documents a class and the labelled rows of each class."""
     usable = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", 5) != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 24)  # 40 bits
     chosen = None
     for k in (0, 1):
-        part = usable.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        # rows far behind the bound never leave their task; the share kept is half as much again as needed
+        share = min(1.0, (1.5 * per_class + 100) / max(1, counts.get(k, 0)))
+        part = usable.where((F.col("toxic") == k) & (place <= int(share * (1 << 40)))).orderBy(place, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most 2 * per_class rows of two numbers
     rows = [(r["doc_id"], r["toxic"]) for r in chosen.collect()]
