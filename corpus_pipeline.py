@@ -20,9 +20,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component, and documents without words."""
+    """The document with the smallest doc_id of each component, and documents without words. Of rows that repeat a doc_id and
+    its text one stays; texts are only compared where ids repeat at all."""
     kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    ids = docs.select("doc_id")
+    return out.dropDuplicates(["doc_id", "text"]) if ids.count() != ids.distinct().count() else out
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
