@@ -178,17 +178,20 @@ def component_count(size: int, src: np.ndarray, dst: np.ndarray) -> int:
     return sum(find(i) == i for i in range(size))
 
 
-SHAPE = "longest_path_len long, component_cnt long, isolate_ratio double, mpr_node_sn long, mpr_node_pr double, mdc_node_sn long, mdc_node_dc double, mdc_closeness double, max_betweenness double, nonzero_betweenness_cnt long"
+SHAPE = "longest_path_len long, component_cnt long, isolate_ratio double, mpr_node_sn long, mpr_node_pr double, mdc_node_sn long, mdc_node_dc double, mdc_closeness double, max_betweenness double, nonzero_betweenness_cnt long, mpr_same long, mdc_same long, mpr_url string"
 
 
 def shapes(n: DataFrame, e: DataFrame) -> DataFrame:
-    """(sample_id, ...SHAPE): what takes the whole graph of a sample. Ties of rank and degree go to the smaller number."""
+    """(sample_id, ...SHAPE): what takes the whole graph of a sample. Ties of rank and degree go to the smaller number.
+
+    mpr_same and mdc_same count the nodes of the top node's host, itself included."""
     kind = n.schema["sample_id"].dataType.simpleString()
 
     def measure(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a):
             return pd.DataFrame(columns=["sample_id", *(x.split()[0] for x in SHAPE.split(", "))])
-        ids = np.sort(a["sn"].to_numpy())
+        a = a.sort_values("sn")
+        ids, host = a["sn"].to_numpy(), a["host"].to_numpy()
         size = len(ids)
         src, dst = np.searchsorted(ids, b["src"].to_numpy(int)), np.searchsorted(ids, b["dst"].to_numpy(int))
         pr = pagerank(size, src, dst)
@@ -197,9 +200,10 @@ def shapes(n: DataFrame, e: DataFrame) -> DataFrame:
         p, d = int(np.argmax(pr)), int(np.argmax(degree))
         alone = size - len(np.unique(np.concatenate([src, dst])))
         row = [a["sample_id"].iloc[0], longest_path(size, src, dst), component_count(size, src, dst), alone / size, ids[p], pr[p], ids[d], degree[d], closeness(size, src, dst, d), between.max(), int((between > 0).sum())]
+        row += [int((host == host[p]).sum()), int((host == host[d]).sum()), a["url"].iloc[p]]
         return pd.DataFrame([row], columns=["sample_id", *(x.split()[0] for x in SHAPE.split(", "))])
 
-    left, right = n.select(F.col("sample_id").alias("sample_id"), "sn"), graph(e).select(F.col("sample_id").alias("sample_id"), "src", "dst")
+    left, right = n.select(F.col("sample_id").alias("sample_id"), "sn", "host", "url"), graph(e).select(F.col("sample_id").alias("sample_id"), "src", "dst")
     return left.groupBy("sample_id").cogroup(right.groupBy("sample_id")).applyInPandas(measure, f"sample_id {kind}, {SHAPE}")
 
 
@@ -207,14 +211,11 @@ def features(n: DataFrame, e: DataFrame) -> DataFrame:
     """sample_id and the 24 features, in the order of schemas.HMG_FEATURES, of samples with more than one node."""
     from chainloom.sources.schemas import HMG_FEATURES
 
-    s = shapes(n, e)
-    hosts = n.groupBy("sample_id", "host").agg(F.count("*").alias("same"))
-    top = lambda sn, name: s.select("sample_id", F.col(sn).alias("sn")).join(n.select("sample_id", "sn", "host", "url"), ["sample_id", "sn"]).join(hosts, ["sample_id", "host"]).select("sample_id", F.col("same").alias(f"{name}_same"), F.col("url").alias(f"{name}_url"))
-    full = node_features(n).where("node_cnt > 1").join(redirect_features(n, e), "sample_id").join(s, "sample_id").join(top("mpr_node_sn", "pr"), "sample_id").join(top("mdc_node_sn", "dc"), "sample_id")
-    url = F.col("pr_url")
+    full = node_features(n).where("node_cnt > 1").join(redirect_features(n, e), "sample_id").join(shapes(n, e), "sample_id")
+    url = F.col("mpr_url")
     others = F.col("node_cnt") - 1
     named = full.select(
-        "*", ((F.col("pr_same") - 1) / others).alias("same_pr_domain_ratio"), ((F.col("dc_same") - 1) / others).alias("same_dc_domain_ratio"), F.length(url).alias("mpr_url_len"),
+        "*", ((F.col("mpr_same") - 1) / others).alias("same_pr_domain_ratio"), ((F.col("mdc_same") - 1) / others).alias("same_dc_domain_ratio"), F.length(url).alias("mpr_url_len"),
         path_depth(url_path(url)).alias("mpr_url_path_depth"), F.length(url_query(url)).alias("mpr_url_query_len"), F.size(F.split(url_query(url), "&")).alias("mpr_url_query_cnt"),
     )
     return named.select("sample_id", *[F.col(c).cast("double").alias(c) for c in HMG_FEATURES])
