@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 
 from chainloom.llm.common import arrow_map, batch, doc_table, materialize, mix64, most_frequent, read, words
 
+#: Words of a shingle; the similarity of a link in per cent, where a caller names no other.
 SHINGLE, SIMILAR = 5, 85
 #: Retained values of a document, and those that the most frequent values known to all workers are chosen from.
 SKETCH, MAX_FREQUENT, FREQUENT_FROM = 64, 65_536, 8
-#: Of two sketches whose sets are linked at least so many values are shared (more than 5 standard deviations under the mean).
-SHARED = 42
-#: Pairs whose union sketch estimates less (again 5 standard deviations under the threshold) are not verified.
-ESTIMATE = 0.60
+#: Standard deviations that the bounds on sketches stay under their means: shared values (where one set holds the other; over 7
+#: where both are equally large), and the union sketch's estimate.
+SHARED_UNDER, ESTIMATE_UNDER = 4.3, 5.6
 #: Members of a star that one task verifies.
 SPREAD = 128
 #: Longest list whose members meet directly; documents in one block of a family; hash buckets of the overlap bound.
@@ -79,10 +79,22 @@ def counts_of(stored: bytes) -> np.ndarray:
     return np.frombuffer(stored, np.uint8 if len(stored) == BUCKETS else np.uint32)
 
 
-def listed_length(n: int) -> int:
+def shared_at_least(similar: int) -> int:
+    """How many values two sketches share at least if their sets are linked."""
+    s = similar / 100
+    return int(SKETCH * s - SHARED_UNDER * math.sqrt(SKETCH * s * (1 - s)))
+
+
+def estimate_at_least(similar: int) -> float:
+    """Pairs whose union sketch estimates less are not verified."""
+    s = similar / 100
+    return round(s - ESTIMATE_UNDER * math.sqrt(s * (1 - s) / SKETCH), 2)
+
+
+def listed_length(n: int, similar: int = SIMILAR) -> int:
     """How many values of a sketch, in one order for all, must be listed so that linked sketches meet in a list."""
     held = min(n, SKETCH)
-    return held - min(math.ceil(SIMILAR * n / 100), SHARED) + 1
+    return held - min(math.ceil(similar * n / 100), shared_at_least(similar)) + 1
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -98,7 +110,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, run, "doc_id long, n_shingles long, class_key binary, sketch array<long>, buckets binary")
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, similar: int) -> DataFrame:
     """(value, id, n, common): the listed values of each class, the most frequent values last; common: its number of frequent values."""
     counted = classes.select(F.explode("sketch").alias("value")).groupBy("value").count()
     frequent = most_frequent(materialize(counted.where(F.col("count") >= FREQUENT_FROM), "frequent-values"), "count", MAX_FREQUENT)
@@ -109,7 +121,7 @@ def postings(classes: DataFrame) -> DataFrame:
         for b in batches:
             value, ids, ns, common = [], [], [], []
             for i, n, sketch in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                chosen = sorted(sketch, key=lambda v: (rank.get(v, 0), v))[: listed_length(n)]
+                chosen = sorted(sketch, key=lambda v: (rank.get(v, 0), v))[: listed_length(n, similar)]
                 value += chosen
                 ids += [i] * len(chosen)
                 ns += [n] * len(chosen)
@@ -119,17 +131,17 @@ def postings(classes: DataFrame) -> DataFrame:
     return arrow_map(classes.select("id", "n", "sketch"), run, "value long, id long, n long, common int")
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
     """Pairs (a, b) whose union sketch doesn't speak against a link."""
     a = classes.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
     b = classes.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
     shared = F.size(F.array_intersect("sa", "sb"))
     in_union = F.size(F.array_intersect(F.array_intersect(F.col("sa"), F.col("sb")), union))
-    return pairs.join(a, "a").join(b, "b").where((in_union >= ESTIMATE * F.size(union)) & (shared > 0)).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where((in_union >= estimate_at_least(similar) * F.size(union)) & (shared > 0)).select("a", "b")
 
 
-def family_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+def family_pairs(members: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
     """Pairs (a, b) of one family (family, id, component) in different components whose bucket counts allow a link.
 
     Each block of documents meets each block of its family in a task; a task holds two blocks at most."""
@@ -150,10 +162,10 @@ def family_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
         held = np.stack([counts_of(r[4]).astype(np.uint32) for r in y]) if any(len(r[4]) != BUCKETS for r in rows) else np.stack([counts_of(r[4]) for r in y])
         found = []
         for _, i, c, n, stored in x:
-            at = np.flatnonzero((cy != c) & (100 * np.minimum(ny, n) >= SIMILAR * np.maximum(ny, n)) & ((iy > i) | (not same)))
+            at = np.flatnonzero((cy != c) & (100 * np.minimum(ny, n) >= similar * np.maximum(ny, n)) & ((iy > i) | (not same)))
             if len(at):
                 bound = np.minimum(held[at], counts_of(stored).astype(held.dtype)).sum(1, dtype=np.int64)
-                for k in at[(100 + SIMILAR) * bound >= SIMILAR * (ny[at] + n)].tolist():
+                for k in at[(100 + similar) * bound >= similar * (ny[at] + n)].tolist():
                     found.append((min(i, int(iy[k])), max(i, int(iy[k]))))
         return found
 
@@ -174,7 +186,7 @@ def family_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     return arrow_map(met.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high"), run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, similar: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar. A star's members are dealt over tasks, each with its centre's text."""
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / SPREAD))
     dealt = pairs.join(materialize(pairs.groupBy("a").agg(F.count("*").alias("many")), "star-sizes"), "a").select("a", "b", salt.alias("salt"))
@@ -194,7 +206,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 elif group == (a, s):
                     own = shingles(text)
                     both = len(np.intersect1d(centre, own, assume_unique=True))
-                    if 100 * both >= SIMILAR * (len(centre) + len(own) - both):
+                    if 100 * both >= similar * (len(centre) + len(own) - both):
                         found.append((a, b))
             if found:
                 yield batch(arrow, list(zip(*found, strict=True)))
@@ -224,8 +236,8 @@ def components(edges: DataFrame) -> DataFrame:
     return low.unionByName(low.select(F.col("component").alias("id"), "component").distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row. Sets whose similarity is ``similar`` per cent or more are linked."""
     texts = doc_table(docs)
     sets = materialize(sketches(texts), "sketches")
     linked = sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
@@ -233,15 +245,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialize(
         linked.join(keys.withColumnRenamed("id", "doc_id"), ["class_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "class_key"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "buckets"), "class-sketches"
     )
-    lists = materialize(postings(classes), "lists")
+    lists = materialize(postings(classes, similar), "lists")
     # the most frequent values first, then a hash: one number, so that the aggregation needs no sort
     rank = F.shiftleft(F.col("common").cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64("id"), 8))
     best = lists.groupBy("value").agg(F.max_by("id", rank).alias("a"), F.max_by("n", rank).alias("na"), F.count("*").alias("many"))
     centres = materialize(best.where("many > 1"), "centres")
-    alike = lambda x, y: 100 * F.least(x, y) >= SIMILAR * F.greatest(x, y)
+    alike = lambda x, y: 100 * F.least(x, y) >= similar * F.greatest(x, y)
     met = materialize(lists.select("value", "id", "n").join(centres, "value"), "met")
-    stars = materialize(estimated(met.where((F.col("id") != F.col("a")) & alike(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct(), classes), "stars")
-    links = materialize(verified(stars, texts), "links")
+    stars = materialize(estimated(met.where((F.col("id") != F.col("a")) & alike(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct(), classes, similar), "stars")
+    links = materialize(verified(stars, texts, similar), "links")
     first = materialize(components(links), "first-components")
     # what a star left apart: members of one list in different components, and not compared yet
     placed = materialize(met.join(first, "id", "left").select("value", "id", "n", "many", "a", F.coalesce("component", "id").alias("component")), "placed")
@@ -252,9 +264,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
     crowd = materialize(rest.where(F.col("many") > SHORT).select(F.col("a").alias("family"), "id", "component").distinct(), "families")
     known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crossing = estimated(near, classes).unionByName(family_pairs(crowd, classes)).distinct().join(known, ["a", "b"], "left_anti")
+    crossing = estimated(near, classes, similar).unionByName(family_pairs(crowd, classes, similar)).distinct().join(known, ["a", "b"], "left_anti")
     more = materialize(crossing, "crossing")
-    found = components(links.unionByName(verified(more, texts))) if more.limit(1).count() else first
+    found = components(links.unionByName(verified(more, texts, similar))) if more.limit(1).count() else first
     root = keys.join(found, "id", "left").select("class_key", F.coalesce("component", "id").alias("component_id"))
     joined = sets.join(root, "class_key", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))

@@ -12,6 +12,8 @@ from chainloom.llm.toxicity import reject, train
 
 #: Passages of over 50 words go where they repeat; the shortest of these have about so many bytes.
 PASSAGE_BYTES = 240
+#: Per cent of shared shingles from which two documents are near copies of each other.
+NEAR = 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each component, and documents without words. Of rows that repeat a doc_id and
     its text one stays; texts are only compared where ids repeat at all."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = near_duplicates(docs, NEAR).where("kept").select("doc_id").distinct()
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
     ids = docs.select("doc_id")
     return out.dropDuplicates(["doc_id", "text"]) if ids.count() != ids.distinct().count() else out

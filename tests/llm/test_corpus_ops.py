@@ -285,6 +285,24 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == [(0, 0, True), (1, 1, True), (2, 1, False), (2, 1, False)]
 
 
+def test_threshold_of_links(spark):
+    base = [f"w{i}" for i in range(104)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:30] + ["x"] + base[31:70] + ["y"] + base[71:])), (3, " ".join(base[:84]))]  # 90 of 110 and 80 of 100 are shared with the first
+    kept = lambda *a: sorted(r.doc_id for r in neardup.near_duplicates(docs_of(spark, rows), *a).where("kept").collect())
+    assert kept() == [1, 2, 3] and kept(81) == [1, 3] and kept(80) == [1]
+    assert (neardup.shared_at_least(85), neardup.estimate_at_least(85)) == (42, 0.60)
+    assert neardup.shared_at_least(80) < 42 and neardup.estimate_at_least(80) < 0.60
+
+
+def test_pipeline_links_from_four_fifths(spark, tmp_path):
+    import corpus_pipeline as p
+
+    base = [f"w{i}" for i in range(104)]
+    docs = docs_of(spark, [(1, " ".join(base)), (2, " ".join(base[:84])), (3, " ".join(base[:83]))])
+    assert sorted(r.doc_id for r in p.near_dedup(spark, docs.where("doc_id <> 3"), str(tmp_path)).collect()) == [1]
+    assert sorted(r.doc_id for r in p.near_dedup(spark, docs.where("doc_id <> 2"), str(tmp_path)).collect()) == [1, 3]
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 400), (400, 450)]
     got = {r.id: r.component for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
