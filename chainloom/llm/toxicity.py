@@ -4,7 +4,7 @@ A suspicious unit (digits or symbols among letters, runs of one letter, single l
 observed character may stand for itself or for a letter it looks like, repeat the one before, or be filling. Viterbi finds the
 cheapest restored word under a character trigram model. The restored words are scored by a logistic model over the weights of
 words and word beginnings that mark toxic documents. Labels are learnt from at most ``SAMPLE_PER_CLASS`` labelled documents a
-class, chosen by a hash of the id among rows whose crc32(doc_id) mod 5 is not 0; everything else covers all rows.
+class, chosen by a hash of the id among rows whose crc32(doc_id) mod 5 is not 0; everything else, the trigrams too, covers all rows.
 
 Cases: null and empty texts get the score of a text without marks; units of any length are decoded in linear time;
 repeated rows score alike; without labels of both classes every score is the prior (0 where there are no labels);
@@ -28,8 +28,8 @@ from chainloom.llm.common import arrow_map, batch, doc_table, fold, materialize,
 
 #: Bound of the labelled sample, for each class.
 SAMPLE_PER_CLASS = 4000
-#: Bounds of the model that is sent to the workers.
-MAX_MARKS, MAX_TRIGRAMS = 20_000, 60_000
+#: Bound of the marks that are sent to the workers; the trigrams sent with them are bounded by the letters that texts use.
+MAX_MARKS = 20_000
 #: A mark needs this log odds, this G2 statistic and this many toxic documents.
 LEAST_ODDS, LEAST_G2, LEAST_DOCS = 2.0, 18.0, 3
 PREFIXES = (4, 5, 6)
@@ -172,7 +172,7 @@ def summary(weights: list[float], n_words: int) -> list[float]:
 
 
 class Scorer:
-    """The model that workers hold; its size is bounded by MAX_MARKS and MAX_TRIGRAMS."""
+    """The model that workers hold; its size is bounded by MAX_MARKS and the trigrams of letters that occur."""
 
     def __init__(self, marks: dict[str, float], trigrams: dict[str, int], beta: list[float]) -> None:
         self.marks, self.trigrams, self.beta = marks, trigrams, beta
@@ -244,6 +244,33 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFram
     return doc_table(docs).join(F.broadcast(small), "doc_id"), counts
 
 
+def trigram_counts(docs: DataFrame) -> DataFrame:
+    """(g, n): trigrams of the words of letters, with their ends, over all of ``docs`` (doc_id, text); a document counts a word once."""
+    arrow = pa.schema([("g", pa.string()), ("n", pa.int64())])
+
+    def grams(held: Counter) -> pa.RecordBatch:
+        out: Counter = Counter()
+        for w, n in held.items():
+            if w.isalpha() and not RUN.search(w):
+                padded = f"^^{w}$"
+                for i in range(len(w) + 1):
+                    out[padded[i : i + 3]] += n
+        return batch(arrow, [list(out), list(out.values())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for b in batches:
+            for text in b.column(1).to_pylist():
+                held.update(set(text.lower().split()))
+            if len(held) > REMEMBER:
+                yield grams(held)
+                held = Counter()
+        if held:
+            yield grams(held)
+
+    return arrow_map(docs, run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Scorer:
     chosen, counts = sample(docs, labels, per_class)
     if not counts.get(1) or not counts.get(0):
@@ -261,11 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     by_class = {r["toxic"]: r["count"] for r in units.groupBy("toxic").count().collect()}
     nt, nc = by_class.get(1, 0), by_class.get(0, 0)
 
-    word = F.explode("units").alias("w")
-    letters = units.select(word).where(F.col("w").rlike(r"^\p{L}+$") & ~F.col("w").rlike(r"(.)\1\1"))
-    padded = F.concat(F.lit("^^"), F.col("w"), F.lit("$"))
-    grams = letters.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substring(padded, i, 3))).alias("g")).groupBy("g").count()
-    trigrams = {r["g"]: r["count"] for r in grams.orderBy(F.desc("count"), "g").limit(MAX_TRIGRAMS).collect()}
+    trigrams = {r["g"]: r["n"] for r in trigram_counts(doc_table(docs)).collect()}
 
     held: dict[str, CharModel] = {}
 

@@ -86,6 +86,18 @@ def test_no_labels(spark):
     assert round(toxicity.train(docs, both).score("anything")) == 0
 
 
+def test_trigrams_cover_all_documents(spark):
+    docs, labels = toy_labels(spark, 40)
+    more = [(1000 + i, f"Квашня kvas{chr(97 + i)}t zzzz kvassa") for i in range(20)] + [(2000, None)]
+    whole = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    want = collections.Counter()
+    for r in whole.collect():
+        for w in set((r.text or "").lower().split()):
+            if w.isalpha() and w != "zzzz":
+                want.update(("^^" + w + "$")[i : i + 3] for i in range(len(w) + 1))
+    assert toxicity.train(whole, labels).trigrams == want and want["^^к"] == 20
+
+
 # ---- top-k
 
 
