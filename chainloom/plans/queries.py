@@ -184,6 +184,15 @@ def url_key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, "key").select("a", "b")
 
 
+@query("SELECT a.page_id AS a, b.page_id AS b FROM pages a JOIN pages b ON lower(a.url) = lower(upper(b.url))")
+def url_key_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As url_key_match, for every page: an equi-join of all pages with all pages."""
+    p = table(spark, sf_dir, "pages")
+    left = p.select(F.col("page_id").alias("a"), U.url_key(F.col("url")).alias("key"))
+    right = p.select(F.col("page_id").alias("b"), U.url_key(U.percent_encode(F.upper("url"), ":/?&=#")).alias("key"))
+    return left.join(right, "key").select("a", "b")
+
+
 @query("SELECT page_id, CASE WHEN url LIKE 'http%' THEN url END AS url FROM pages WHERE regexp_matches(url, '^https?://[a-z0-9.-]+/[A-Za-z0-9_./-]*([?][A-Za-z0-9_=&.-]*)?(#[A-Za-z0-9_]*)?$')")
 def valid_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain urls are their own canonical spelling, also when they come with a default port and a doubled escape."""
@@ -347,6 +356,14 @@ def tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.search_node(t, wanted).select("sample_id", "node_seq")
 
 
+@query(TREE_SQL + """
+SELECT sample_id, node_seq FROM tree QUALIFY row_number() OVER (PARTITION BY sample_id, url ORDER BY path_ord) = 1""")
+def tree_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First depth-first node of every distinct url of a tree."""
+    t = _tree(spark, sf_dir).withColumn("url_fragment", F.lit(""))
+    return tree.search_node(t, t.select("sample_id", F.upper("url").alias("wanted_url")).distinct()).select("sample_id", "node_seq")
+
+
 # ---- message graphs of events
 
 

@@ -37,6 +37,14 @@ def test_query(spark, duck, name):
         assert rows
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no data")
+def test_no_page_or_url_is_left_out(spark):
+    pages = {r.page_id for r in spark.read.parquet(f"{SF}/pages.parquet").where("url is not null").select("page_id").collect()}
+    assert {r.a for r in QUERIES["url_key_match_all"](spark, SF).collect()} == pages
+    narrow, whole = ({tuple(r) for r in QUERIES[n](spark, SF).collect()} for n in ("tree_search", "tree_search_all"))
+    assert narrow < whole
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
