@@ -228,6 +228,13 @@ def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.where(F.col("href").rlike("^/[A-Za-z0-9]+$")).select("page_id", U.url_join(F.col("url"), F.col("href")).alias("target"))
 
 
+@query()
+def resolved_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As resolved_links, for every link of every page; SQL has no url resolution."""
+    links = tags.of_type(tags.page_tags(table(spark, sf_dir, "pages").select("page_id", "url", "html")), "a").select("page_id", "url", F.col("attributes")["href"].alias("href"))
+    return links.where(F.col("href").isNotNull()).select("page_id", "href", U.url_join(F.col("url"), F.col("href")).alias("target"))
+
+
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(0, least(1664, x + w) - greatest(0, x)) * greatest(0, least(919, y + h) - greatest(0, y)), 4) AS area,
        greatest(0, least(1664, x + w) - greatest(0, x)) * greatest(0, least(919, y + h) - greatest(0, y)) >= 0.4 * 1664 * 919 AS large

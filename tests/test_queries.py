@@ -2,6 +2,7 @@
 
 import glob
 import os
+from urllib.parse import urljoin
 
 import duckdb
 import pytest
@@ -45,6 +46,15 @@ def test_no_page_or_url_is_left_out(spark):
     assert narrow < whole
 
 
+def test_every_link_is_resolved(spark, tmp_path):
+    hrefs = ["/plain", "/caf\u00e9", "rel/x.html", "../up", "./here/../there", "//other.org/a", "https://abs.net/z?q=1#f", "?only=query", "#frag", "/ends.", "../../../too/far", ""]
+    urls = ["http://example.com/a/b/c.html?x=1", "https://h.org/"]
+    rows = [(i, u, "<html><body>" + "".join(f'<a href="{h}">t</a>' for h in hrefs) + "<a>none</a></body></html>") for i, u in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((r.page_id, r.href, r.target) for r in QUERIES["resolved_links_all"](spark, str(tmp_path)).collect())
+    assert got == sorted((i, h, urljoin(u, h)) for i, u in enumerate(urls) for h in hrefs)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
