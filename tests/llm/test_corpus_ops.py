@@ -163,6 +163,42 @@ def brute_repeats(rows, n):
     return collections.Counter(out)
 
 
+def brute_clean(rows, n, width):
+    """Texts without bytes covered by repeated strings of n bytes or repeated passages of ``width`` words."""
+    import re
+
+    data = [(i, (t or "").encode()) for i, t in rows]
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", d)] for _, d in data]
+    strings = collections.Counter(d[s : s + n] for _, d in data for s in range(len(d) - n + 1))
+    passages = collections.Counter(tuple(d[x:y] for x, y in w[s : s + width]) for (_, d), w in zip(data, spans, strict=True) for s in range(len(w) - width + 1))
+    out = []
+    for (i, d), w in zip(data, spans, strict=True):
+        cover = bytearray(len(d))
+        for s in range(len(d) - n + 1):
+            if strings[d[s : s + n]] > 1:
+                cover[s : s + n] = b"\1" * n
+        for s in range(len(w) - width + 1):
+            if passages[tuple(d[x:y] for x, y in w[s : s + width])] > 1:
+                x, y = w[s][0], w[s + width - 1][1]
+                cover[x:y] = b"\1" * (y - x)
+        out.append((i, bytes(b for b, c in zip(d, cover, strict=True) if not c).decode("utf-8", "ignore")))
+    return collections.Counter(out)
+
+
+@pytest.mark.parametrize("group", [2, 256])
+def test_passages_against_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix, "GROUP", group)
+    monkeypatch.setattr(suffix, "SEGMENT", 64)
+    monkeypatch.setattr(suffix, "ARRAY_BYTES", 2000)
+    r = random.Random(group)
+    w = lambda n: " ".join(r.choice(["of", "é", "river", "Of", "b", "c\td", "long-word"]) for _ in range(n))
+    shared = [w(30), w(14), w(20)]
+    texts = [w(r.randint(0, 20)) + " " + r.choice(shared) + "\n" + w(r.randint(0, 20)) for _ in range(40)] + ["a " * 100, "", None, " ", w(200), "x" * 500] + [w(40)] * 3
+    rows = [*enumerate(texts), (5, texts[5]), (None, shared[0])]
+    got = collections.Counter((x.doc_id, x.clean) for x in suffix.remove_repeats(docs_of(spark, rows).repartition(5), 200, 12).collect())
+    assert got == brute_clean(rows, 200, 12)
+
+
 @pytest.mark.parametrize("group", [2, 4, 256])
 def test_repeats_against_brute_force(spark, monkeypatch, group):
     monkeypatch.setattr(suffix, "GROUP", group)
@@ -184,7 +220,7 @@ def test_repeats_of_odd_tables(spark):
     docs = docs_of(spark, [(1, "é" * 40), (2, "xé" + "é" * 40 + "tail"), (3, None)]).withColumn("n_chars", F.lit(0).cast("long"))
     cut = {r.doc_id: (r.text, r.n_chars) for r in suffix.cut_repeats(docs, 60).collect()}
     assert cut[1] == ("", 0) and cut[2][0].startswith("x") and cut[2][0].endswith("tail") and cut[3] == (None, 0)
-    assert sorted(r.doc_id for r in suffix.cut_repeats(docs, 60, True).collect()) == [2, 3]
+    assert sorted(r.doc_id for r in suffix.cut_repeats(docs, 60, drop_emptied=True).collect()) == [2, 3]
     assert suffix.cut_repeats(docs, 60).columns == docs.columns
 
 
@@ -352,7 +388,7 @@ def test_pipeline(spark, tmp_path, monkeypatch):
     after, before = kept["near_dedup"]
     assert set(after) == {i for i, (_, _, k) in brute_components(list(before.items())).items() if k}
     after, before = kept["suffix_dedup"]
-    want = {i: b.decode("utf-8", "ignore") for i, _, _, _, b in brute_repeats(list(before.items()), p.PASSAGE_BYTES)}
+    want = dict(brute_clean(list(before.items()), p.PASSAGE_BYTES, p.PASSAGE_WORDS).keys())
     assert {i: t or "" for i, t in after.items()} == {i: t for i, t in want.items() if t.strip() or not (before[i] or "")}
     assert "shared40" not in after[1000] and 1005 in after and 1006 in after
     t = Tokenizer.from_file(__import__("public_tokenizers").path("byte_bpe_50k.json"))
