@@ -10,8 +10,8 @@ from chainloom.llm.packing import pack
 from chainloom.llm.suffix import cut_repeats
 from chainloom.llm.toxicity import reject, train
 
-#: Passages of over 50 words go where they repeat; the shortest of these have about so many bytes.
-PASSAGE_BYTES = 240
+#: Passages of over 50 words go where they repeat, and strings of so many bytes whatever their words.
+PASSAGE_WORDS, PASSAGE_BYTES = 51, 400
 #: Per cent of shared shingles from which two documents are near copies of each other.
 NEAR = 80
 
@@ -32,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat; those of which nothing but white space is left go."""
-    return cut_repeats(docs, PASSAGE_BYTES, drop_emptied=True)
+    return cut_repeats(docs, PASSAGE_BYTES, PASSAGE_WORDS, drop_emptied=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
