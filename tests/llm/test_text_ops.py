@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -164,6 +165,54 @@ def test_html_rules():
     assert html.main_text(f"<article><p>{GOOD}<a hre") == GOOD.strip()
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "main-content with-sidebar", "ad-free", "search-results", "entry no-comments", "page-header-fixed", "related-content", "sidebar"])
+def test_a_word_of_a_class_name_condemns_nothing(name):
+    a, b = (GOOD * 2).strip(), (GOOD * 3).strip()
+    assert html.main_text(page(f"<nav><a href=x>Home</a></nav><div class='{name}'><p>{a}</p><p>{b}</p></div>")) == f"{a}\n{b}"
+
+
+def test_a_teaser_is_not_the_main_text():
+    a, b = (GOOD * 2).strip(), (GOOD * 3).strip()
+    text = html.main_text(page(f"<article class='card'><p>More to come.</p></article><p>{a}</p><p>{b}</p>"))
+    assert a in text and b in text
+
+
+@pytest.mark.parametrize("text", [
+    "Он вышел из дома рано утром и пошёл по дороге к реке, где его уже ждали друзья. " * 4, "これは日本語の文章です。私は昨日、友達と一緒に公園へ行きました。天気がとても良かったので、楽しかったです。" * 3,
+    "วันนี้อากาศดีมากและเราไปเดินเล่นที่สวนสาธารณะกับเพื่อนของเราในตอนเช้า " * 6, "Hän lähti talosta varhain aamulla ja käveli tietä pitkin joelle, jossa hänen ystävänsä jo odottivat. " * 5,
+])
+def test_no_language_is_left_out(text):
+    text = " ".join(text.split())
+    assert html.main_text(page(f"<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><p>{text}</p><p>{text}</p><div class='footer'>x y</div>")) == f"{text}\n{text}"
+
+
+@pytest.mark.parametrize("bad", ["<a ", '<a href="', "<a href='x\" ", "<div>", "<!--", "<b", "</p>", "<div><u>", '<p class="x>', "<a b='>", "&amp", "<", "<p>x</p>"])
+def test_malformed_pages_take_linear_time(bad):
+    began = time.process_time()
+    html.main_text(bad * (1_000_000 // len(bad)))
+    assert time.process_time() - began < 5
+
+
+def test_generated_pages_give_their_articles():
+    r = random.Random(8)
+    words_of = {"en": "the of and to in is it that was for on with as at by".split(), "ru": "и в не на что он по как это из за от к у".split(), "de": "der die und in den von zu das mit sich des auf für ist".split()}
+
+    def prose(language, n):
+        w = [r.choice(words_of[language]) if r.random() < 0.4 else "".join(r.choice("abdeiklmnorstu" if language != "ru" else "абвдеиклмнорсту") for _ in range(r.randint(4, 9))) for _ in range(n)]
+        return " ".join(w).capitalize() + "."
+
+    for _ in range(150):
+        language = r.choice(sorted(words_of))
+        menu = "".join(f"<li><a href='/{i}'>{prose(language, 1)}</a></li>" for i in range(6))
+        paragraphs = [prose(language, r.randint(45, 120)) for _ in range(r.randint(2, 6))]
+        title = prose(language, 5)
+        body = f"<h1>{title}</h1>" + "".join(f"<p>{p.replace('а', '&#1072;')}</p>" for p in paragraphs)
+        around = r.choice([("<article>", "</article>"), ("<main><section>", "</section></main>"), ("<div class='post has-sidebar'>", "</div>"), ("<div>", "</div>")])
+        comments = f"<div class='comments'><p>{prose(language, 60)}</p><form><label>Name</label><textarea>x</textarea></form></div>"
+        whole = f"<header><b>{prose(language, 4)}</b></header><nav><ul>{menu}</ul></nav><div class='ad'>{prose(language, 9)}</div>{around[0]}{body}{around[1]}<aside><p>{prose(language, 50)}</p></aside>{comments}<div id='cookie-banner'>{prose(language, 40)}</div><footer>&copy; {prose(language, 40)}</footer>"
+        assert html.main_text(page(whole)).split("\n") == [title, *paragraphs], whole
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", page(f"<article><p>{GOOD}</p></article>"), "c"), (2, None, None, "c"), (3, "u", "", "c"), (1, "u", page(f"<article><p>{GOOD}</p></article>"), "c")], "page_id long, url string, html string, text string")
     rows = sorted((r.page_id, r.text, r.n_chars) for r in html.extract(df).collect())
