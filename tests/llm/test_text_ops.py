@@ -221,12 +221,13 @@ def test_html_table(spark):
 
 
 def test_lm_counts_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lm, "MAX_KNOWN", 30)
-    monkeypatch.setattr(lm, "CLUSTERED", 10)
+    monkeypatch.setattr(lm, "LEAST", 8)
+    monkeypatch.setattr(lm, "CORE", 10)
+    monkeypatch.setattr(lm, "CLASSES", 8)
     r = random.Random(5)
     vocabulary = [f"w{i}" for i in range(80)] + ["É", "\x1c", "Ab"]
-    texts = [" ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(len(vocabulary))], k=r.randint(0, 60))) for _ in range(40)] + [None, "", "only-here", "a\tb\x0bc"]
-    docs = table(spark, texts).select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = [" ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(len(vocabulary))], k=r.randint(0, 60))) for _ in range(40)] + [None, "", "only-here", "a\tb\x0bc", " ".join(r.choices(vocabulary, k=20_000))]
+    docs = lm.doc_table(table(spark, texts))
     train = docs.where("doc_id % 3 <> 0")
     count = Counter()
     for i, t in enumerate(texts):
@@ -234,11 +235,80 @@ def test_lm_counts_against_brute_force(spark, monkeypatch):
             count.update(words(t or ""))
             count[None] += 1
     n, v = sum(count.values()), len(count)
+    known = sorted((w for w, c in count.items() if w is not None and c >= 8), key=lambda w: (-count[w], w.decode()))
+    symbols = lm.Symbols([(w.decode(), count[w]) for w in known])
+    cls, pairs = lm.cluster(train, symbols)
+    model = (cls.tolist(), pairs, {w: i for i, w in enumerate(known)}, symbols.first_bucket)
+    model = (np.array(model[0]), *model[1:])
+    assert len(known) > 20 and pairs.sum() == sum(len(words(t or "")) + 1 for i, t in enumerate(texts) if i % 3)
     for row in lm.score(docs, train).collect():
         w = [*words(texts[row.doc_id] or ""), None]
         base = sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
         assert (row.n_tokens, row.n_known, row.train_tokens) == (len(w), sum(count[x] > 0 for x in w), n)
-        assert row.base_score == pytest.approx(base) and row.score < 0 and math.isfinite(row.score)
+        assert row.base_score == pytest.approx(base) and row.score == pytest.approx(brute_score(w, model, count))
+
+
+def brute_score(tokens, model, count):
+    """log10 of a text under classes: each word's class after the last one's, and the word in its class."""
+    cls, pairs, known, buckets = model
+    k = int(cls.max()) + 1
+    size = {c: 0.0 for c in range(k)}
+    mass = [sum(c for w, c in count.items() if w is not None and w not in known and lm.bucket_of(w.decode()) == b) for b in range(lm.BUCKETS)]
+    kinds = [sum(1 for w in count if w is not None and w not in known and lm.bucket_of(w.decode()) == b) for b in range(lm.BUCKETS)]
+    for w, at in known.items():
+        size[cls[at]] += count[w] + 0.5
+    for b in range(lm.BUCKETS):
+        size[cls[buckets + b]] += mass[b] + 0.5
+    size[cls[-1]] += count[None] + 0.5
+    total, before = 0.0, cls[-1]
+    for w in tokens:
+        b = None if w is None or w in known else lm.bucket_of(w.decode())
+        c = cls[-1] if w is None else cls[known[w]] if b is None else cls[buckets + b]
+        smooth = lambda x, y: pairs[x][y] + 0.01
+        row, all_ = sum(smooth(before, y) for y in range(k)), sum(smooth(x, y) for x in range(k) for y in range(k))
+        total += math.log10((1 - lm.MIX) * smooth(before, c) / row + lm.MIX * sum(smooth(x, c) for x in range(k)) / all_)
+        if b is None:
+            total += math.log10((count[w] + 0.5) / size[c])
+        else:
+            total += math.log10((mass[b] + 0.5) / size[c]) + math.log10((count[w] + 0.5) / (mass[b] + 0.5 * (kinds[b] + 1)))
+        before = c
+    return total
+
+
+def test_sweeps_move_words_to_their_best_class(spark):
+    rng = np.random.default_rng(4)
+    order = rng.integers(0, 12, 4000)
+    order = np.concatenate([[13], np.where(rng.random(4000) < 0.8, (np.arange(4000) % 3) * 4 + order % 4, order), [13]]).astype("<i4")
+    ids = spark.createDataFrame([(bytearray(order[:2000].tobytes()),), (bytearray(order[1999:].tobytes()),)], "ids binary")
+    pairs = np.zeros((14, 14))
+    np.add.at(pairs, (order[:-1], order[1:]), 1)
+    cls = np.array([*(rng.integers(0, 3, 12)), 2, 3])
+    k = 4
+    g = lm.class_pairs(ids, cls)
+    member = np.eye(k)[cls]
+    assert (g == member.T @ pairs @ member).all()
+    for turn in (0, 1):
+        moved = lm.sweep(ids, cls, 12, g, turn)
+        for w in range(14):
+            if w >= 12 or w % 2 != turn:
+                assert moved[w] == cls[w]
+                continue
+            tried = []
+            for c in range(k - 1):
+                other = cls.copy()
+                other[w] = c
+                m = np.eye(k)[other]
+                tried.append(lm.log_likelihood(m.T @ pairs @ m))
+            assert tried[moved[w]] == pytest.approx(max(tried))
+
+
+def test_held_out_texts_are_likelier_than_by_the_base(spark):
+    r = random.Random(12)
+    groups = [[f"{g}{i}" for i in range(40)] for g in ("noun", "verb", "adj")]
+    texts = [" ".join(r.choice(groups[i % 3]) for i in range(90)) for _ in range(200)]
+    docs = lm.doc_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = lm.score(docs, docs.where("doc_id % 4 <> 0")).where("doc_id % 4 = 0").collect()
+    assert sum(x.score for x in rows) > sum(x.base_score for x in rows) + 0.3 * sum(x.n_tokens for x in rows)
 
 
 def test_lm_odd_tables(spark):
@@ -273,6 +343,8 @@ def test_exchange_only_raises_the_likelihood():
 def test_class_model_is_normalised():
     rng = np.random.default_rng(2)
     pairs = rng.poisson(1, (30, 30)).astype(float)
-    m = lm.ClassModel(pairs, lm.exchange(pairs, 6))
+    cls = lm.exchange(pairs, 6)
+    member = np.eye(6)[cls]
+    m = lm.ClassModel(member.T @ pairs @ member, cls, pairs.sum(0))
     assert np.allclose((10**m.transition).sum(1), 1, atol=1e-6)
     assert np.allclose(np.bincount(m.cls, 10**m.emission), 1)
