@@ -1,14 +1,18 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-A suspicious unit (digits or symbols among letters, runs of one letter, single letters set apart) becomes a lattice: each
-observed character may stand for itself or for a letter it looks like, repeat the one before, or be filling. Viterbi finds the
-cheapest restored word under a character trigram model. The restored words are scored by a logistic model over the weights of
+A suspicious unit (digits or symbols among letters, a letter twice in a row, single characters set apart by white space) becomes a
+lattice: each observed character may stand for itself or for a letter it looks like, repeat the one before, or be filling; white space
+may be filling or the bound of two words. Viterbi finds the
+cheapest restored words under a character trigram model. The restored words are scored by a logistic model over the weights of
 words and word beginnings that mark toxic documents. Labels are learnt from at most ``SAMPLE_PER_CLASS`` labelled documents a
-class, chosen by a hash of the id among rows whose crc32(doc_id) mod 5 is not 0; everything else, the trigrams too, covers all rows.
+class, chosen by a hash of the id among rows whose crc32(doc_id) mod 5 is not 0; of those with near-equal texts the one with the smallest
+id is learnt from. Everything else, the trigrams too, covers all rows. All marks that the sample shows are used; there are no more of
+them than the sample's words and beginnings, and beyond ``MAX_MARKS`` training fails instead of leaving any out.
 
 Cases: null and empty texts get the score of a text without marks; units of any length are decoded in linear time;
 repeated rows score alike; without labels of both classes every score is the prior (0 where there are no labels);
-labels that are null or contradict each other for one doc_id are left out; extra columns are ignored.
+labels that are null or contradict each other for one doc_id are left out; an empty ``documents`` gives no rows; extra columns, of
+whatever names, are ignored (and kept as they are by ``reject``).
 """
 
 from __future__ import annotations
@@ -21,15 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import arrow_map, batch, doc_table, fold, materialize, mix64, read, words
+from chainloom.llm.common import arrow_map, batch, discard, doc_table, fold, materialize, mix64, read, words
 
 #: Bound of the labelled sample, for each class.
 SAMPLE_PER_CLASS = 4000
-#: Bound of the marks that are sent to the workers; the trigrams sent with them are bounded by the letters that texts use.
-MAX_MARKS = 20_000
+#: More marks than this are an error; the trigrams sent with them are bounded by the letters that texts use.
+MAX_MARKS = 2_000_000
+#: Hashes of a sample document's shingles by which near-equal texts are found, and the share of them that near-equal texts have in common.
+SKETCH, NEAR = 64, 0.8
 #: A mark needs this log odds, this G2 statistic and this many toxic documents.
 LEAST_ODDS, LEAST_G2, LEAST_DOCS = 2.0, 18.0, 3
 PREFIXES = (4, 5, 6)
@@ -42,9 +48,10 @@ LOOKS = {
 }
 FILL = set(".-_*~'`^/\\,:;=#·•")
 #: Costs of the channel, in nats.
-SAME_DIGIT, SWAP, DROP_FILL, DROP_REPEAT, DROP_OTHER = 6.0, 0.7, 0.3, 0.5, 7.0
+SAME_DIGIT, SWAP, DROP_FILL, DROP_REPEAT, DROP_OTHER, DROP_SPACE, BOUND = 6.0, 0.7, 0.3, 0.5, 7.0, 0.3, 0.3
 
-SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+TWICE = re.compile(r"(.)\1")
 RUN = re.compile(r"(.)\1\1")
 EDGES = " \t\r\n.,;:!?\"'()[]{}<>«»“”‘’…-_"
 ODD = re.compile(r"[0-9@$!|+€£(<¡*.\-_~'`^/\\,:;=#·•]")
@@ -83,9 +90,13 @@ class CharModel:
 
 
 def lattice(unit: str) -> list[list[tuple[str, float]]]:
-    """For each observed character the letters it may stand for, with channel costs; '' means that it is dropped."""
+    """For each observed character the letters it may stand for, with channel costs; '' means that it is dropped, a space that a
+    word ends."""
     out = []
     for i, c in enumerate(unit):
+        if c == " ":
+            out.append([("", DROP_SPACE), (" ", BOUND)])
+            continue
         ways = [(c, 0.0)] if c.isalpha() else [(c, SAME_DIGIT)] if c not in FILL else []
         ways += [(x, SWAP) for x in LOOKS.get(c, "")]
         if c in FILL:
@@ -99,13 +110,15 @@ def lattice(unit: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(unit: str, model: CharModel) -> str:
-    """The cheapest word for ``unit``. A state is the last two letters; back-pointers are kept by position."""
+    """The cheapest words for ``unit``, with spaces between them. A state is the last two letters; back-pointers are kept by position."""
     states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
     for ways in lattice(unit):
         fresh: dict[str, tuple[float, tuple | None]] = {}
         for h, (cost, path) in states.items():
             for c, channel in ways:
-                if c:
+                if c == " ":
+                    to, total, way = "^^", cost + channel + model.cost(h, "$"), (c, path)
+                elif c:
                     to, total, way = h[1] + c, cost + channel + model.cost(h, c), (c, path)
                 else:
                     to, total, way = h, cost + channel, path
@@ -122,7 +135,9 @@ def viterbi(unit: str, model: CharModel) -> str:
 
 def suspicious(core: str) -> bool:
     if core.isalpha():
-        return RUN.search(core) is not None
+        return TWICE.search(core) is not None
+    if " " in core:
+        return any(map(str.isalpha, core))
     return any(map(str.isalpha, core)) and ODD.search(core) is not None
 
 
@@ -136,15 +151,15 @@ def restore(token: str, model: CharModel | None) -> tuple[str, ...]:
         return plain
     decoded = viterbi(core, model)
     leading = viterbi(token.strip(" \t\r\n\"'()[]{}<>«»“”‘’"), model) if core != token else decoded
-    return (*plain, *{w for w in (decoded, leading) if w not in plain})
+    return (*plain, *{w for x in (decoded, leading) for w in x.split() if w not in plain})
 
 
 def tokens_of(text: str) -> set[str]:
-    """Distinct lower-case units; runs of single characters set apart are joined to one unit."""
+    """Distinct lower-case units; single characters in a row, with any white space between them, are one unit too."""
     text = text.lower()
     found = set(text.split())
     for m in SPACED.finditer(text):
-        found.add("".join(m[0].split()))
+        found.add(" ".join(m[0].split()))
     return found
 
 
@@ -165,6 +180,11 @@ def odds(t: float, c: float, nt: int, nc: int) -> float:
     return lo if g2 >= LEAST_G2 else 0.0
 
 
+def odds_column(t: Column, c: Column, nt: int, nc: int) -> Column:
+    """The log odds alone of ``odds``, by which the many names that mark nothing go before any are collected."""
+    return F.log((t + 0.5) / (nt + 1.0)) - F.log((c + 0.5) / (nc + 1.0)) + 1e-9
+
+
 def summary(weights: list[float], n_words: int) -> list[float]:
     """What the logistic model sees of a document: the strongest mark, all marks, and their share."""
     total = sum(weights)
@@ -216,15 +236,37 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return beta
 
 
-def least_shingle(text: str) -> int:
-    """The smallest hash of five words: near copies mostly share it."""
+def sketch(text: str) -> np.ndarray:
+    """The smallest distinct hashes of five words."""
     w = words(text)
     ids = np.array([zlib.crc32(x) for x in w] or [0], dtype=np.uint64)
     h = mix64(ids)
     if len(h) >= 5:
         n = len(h) - 4
         h = mix64(h[:n] + mix64(h[1 : n + 1] + mix64(h[2 : n + 2] + mix64(h[3 : n + 3] + mix64(h[4 : n + 4])))))
-    return int(h.min().view(np.int64))
+    return np.unique(h)[:SKETCH]
+
+
+def near_equal(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the union of two sketches, as far as a sketch reaches, is mostly in both."""
+    union = np.union1d(x, y)[:SKETCH]
+    return len(np.intersect1d(np.intersect1d(x, y, True), union, True)) >= NEAR * len(union)
+
+
+def without_copies(rows: list[tuple[int, int, np.ndarray]]) -> list[int]:
+    """The ids of (doc_id, toxic, sketch) that are near-equal to no row of their class with a smaller id that stays. Near-equal texts
+    share one of their few smallest hashes, by which they meet."""
+    kept: list[int] = []
+    met: dict[tuple[int, int], list[np.ndarray]] = {}
+    for doc_id, toxic, x in sorted(rows, key=lambda r: (r[0], r[2].tolist())):
+        first = [(toxic, int(h)) for h in x[:8]]
+        held = {id(y): y for k in first for y in met.get(k, ())}
+        if any(near_equal(x, y) for y in held.values()):
+            continue
+        kept.append(doc_id)
+        for k in first:
+            met.setdefault(k, []).append(x)
+    return kept
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
@@ -272,21 +314,29 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Scorer:
+    spark = docs.sparkSession
     chosen, counts = sample(docs, labels, per_class)
     if not counts.get(1) or not counts.get(0):
         prior = 30.0 if counts.get(1) else -30.0
         return Scorer({}, {}, [prior, 0.0, 0.0, 0.0])
     # what a document is learnt from: its distinct units; copies and near copies count once
-    arrow = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("shingle", pa.int64()), ("units", pa.list_(pa.string()))])
+    arrow = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("sketch", pa.binary()), ("units", pa.list_(pa.string()))])
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
-            yield batch(arrow, [b.column(0), b.column(2), [least_shingle(t) for t in texts], [sorted(tokens_of(t)) for t in texts]])
-
-    units = materialize(arrow_map(chosen.select("doc_id", "text", "toxic"), prepare, "doc_id long, toxic int, shingle long, units array<string>").dropDuplicates(["shingle", "toxic"]), "toxic-sample")
+            yield batch(arrow, [b.column(0), b.column(2), [sketch(t).tobytes() for t in texts], [sorted(tokens_of(t)) for t in texts]])
+
+    prepared = materialize(arrow_map(chosen.select("doc_id", "text", "toxic"), prepare, "doc_id long, toxic int, sketch binary, units array<string>").dropDuplicates(["doc_id", "sketch"]), "toxic-sample")
+    # SKETCH numbers of each of the sample's documents
+    sketches = [(r["doc_id"], r["toxic"], np.frombuffer(r["sketch"], np.uint64)) for r in prepared.select("doc_id", "toxic", "sketch").collect()]
+    stay = spark.createDataFrame([(i,) for i in sorted(set(without_copies(sketches)))], "doc_id long")
+    units = materialize(prepared.join(F.broadcast(stay), "doc_id").select("toxic", "units"), "toxic-units")
+    discard(prepared)
     by_class = {r["toxic"]: r["count"] for r in units.groupBy("toxic").count().collect()}
     nt, nc = by_class.get(1, 0), by_class.get(0, 0)
+    if not nt or not nc:  # labels whose documents aren't there
+        return Scorer({}, {}, [30.0 if nt else -30.0, 0.0, 0.0, 0.0])
 
     trigrams = {r["g"]: r["n"] for r in trigram_counts(doc_table(docs)).collect()}
 
@@ -313,10 +363,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
         yield batch(marked, [names, [t[n] for n in names], [c[n] for n in names]])
 
     tally = arrow_map(units.select("toxic", "units"), count, "name string, t long, c long").groupBy("name").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    likely = tally.where((F.col("t") >= LEAST_DOCS) & (F.col("t") * nc > F.col("c") * nt)).orderBy(F.desc("t"), "name").limit(4 * MAX_MARKS)
-    seen = {r["name"]: (r["t"], r["c"]) for r in likely.collect()}
-    marks = {n: w for n, (t, c) in seen.items() if (w := odds(t, c, nt, nc))}
-    marks = dict(sorted(marks.items(), key=lambda x: (-x[1], x[0]))[:MAX_MARKS])
+    weight = odds_column(F.col("t"), F.col("c"), nt, nc)
+    found = tally.where((F.col("t") >= LEAST_DOCS) & (weight >= LEAST_ODDS)).limit(MAX_MARKS + 1).collect()
+    if len(found) > MAX_MARKS:
+        raise ValueError(f"the labelled sample shows more than {MAX_MARKS} marks; take a smaller per_class")
+    seen = {r["name"]: (r["t"], r["c"]) for r in found}
+    marks = {n: w for n, (t, c) in sorted(seen.items()) if (w := odds(t, c, nt, nc))}
 
     # each sample document is described by what the others say of its marks
     told = pa.schema([("toxic", pa.int32()), ("x", pa.list_(pa.float64()))])
@@ -339,6 +391,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     rows = arrow_map(units.select("toxic", "units"), describe, "toxic int, x array<double>").collect()  # at most 2 * per_class
     y = np.array([r["toxic"] for r in rows], float)
     beta = logistic(np.array([r["x"] for r in rows]), y)
+    discard(units)
     beta[0] += math.log(counts[1] / counts[0]) - math.log(max(nt, 1) / max(nc, 1))  # from the sample's prior to the table's
     return Scorer(marks, trigrams, [float(b) for b in beta])
 

@@ -44,7 +44,7 @@ def test_clean_and_toxic_are_told_apart(scorer):
     assert scorer.score("") < 0.5
 
 
-@pytest.mark.parametrize("written", ["1d10t", "i d i o t", "idiooooot", "i.d.i.o.t", "!diot", "m0r0n", "l0ser!", "$cum", "s-c-u-m", "MORON", "iiidiot,"])
+@pytest.mark.parametrize("written", ["1d10t", "i d i o t", "idiooooot", "i.d.i.o.t", "!diot", "m0r0n", "l0ser!", "$cum", "s-c-u-m", "MORON", "iiidiot,", "iiddiioott", "r i v e r i d i o t", "i d i o t p a p e r", "i  d\ni o\tt", "1 d 1 0 t", "m o r o n l o s e r"])
 def test_disguises_are_restored(scorer, written):
     assert scorer.score(f"river mountain letter {written} window garden market village teacher") >= 0.5
 
@@ -56,19 +56,68 @@ def test_harmless_oddities_stay_clean(scorer, written):
 
 def test_viterbi_finds_the_cheapest_path():
     model = toxicity.CharModel({"^^a": 5, "^ab": 4, "ab$": 4, "^^b": 1, "^ba": 1, "ba$": 1})
-    for unit in ("4b", "a8", "aab", "a.b", "48"):
+    for unit in ("4b", "a8", "aab", "a.b", "48", "a b", "a b a b"):
         def walk(i, h, cost, out, unit=unit):
             lattice = toxicity.lattice(unit)
             if i == len(lattice):
                 yield cost + model.cost(h, "$"), out
                 return
             for c, k in lattice[i]:
-                yield from walk(i + 1, h[1] + c if c else h, cost + k + (model.cost(h, c) if c else 0), out + c)
+                to = "^^" if c == " " else h[1] + c if c else h
+                yield from walk(i + 1, to, cost + k + (model.cost(h, c.replace(" ", "$")) if c else 0), out + c)
 
         best = min(walk(0, "^^", 0.0, ""))
         assert toxicity.viterbi(unit, model) == best[1]
 
 
+def test_copies_count_once_and_shared_lines_do_not():
+    r = random.Random(3)
+    w = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    line, base = w(12), w(100)
+    near = [*base[:50], "x", *base[51:]]
+    texts = {5: base, 3: near, 9: base, 20: line + w(100), 21: line + w(100), 30: ["short"], 31: ["short"]}
+    rows = [(i, 0, toxicity.sketch(" ".join(t))) for i, t in texts.items()]
+    assert toxicity.without_copies(rows) == toxicity.without_copies(rows[::-1]) == [3, 20, 21, 30]
+    assert toxicity.without_copies([(1, 0, rows[0][2]), (2, 1, rows[0][2])]) == [1, 2]
+
+
+def test_too_many_marks_fail(spark, monkeypatch):
+    docs, labels = toy_labels(spark, 100)
+    monkeypatch.setattr(toxicity, "MAX_MARKS", 2)
+    with pytest.raises(ValueError, match="marks"):
+        toxicity.train(docs, labels)
+
+
+def test_the_score_is_what_its_parts_say(spark, scorer):
+    """By hand: marks of plain words, the summary, the logistic function."""
+    docs, _ = toy_labels(spark)
+    for row in docs.limit(40).collect():
+        units = set(row.text.split())
+        found = []
+        for u in units:
+            variants = {u} | ({toxicity.viterbi(u, toxicity.CharModel(scorer.trigrams))} if any(a == b for a, b in zip(u, u[1:], strict=False)) else set())
+            found.append(max(max([scorer.marks.get("=" + x, 0.0)] + [scorer.marks.get("^" + x[:k], 0.0) for k in (4, 5, 6) if len(x) > k]) for x in variants))
+        found = [x for x in found if x]
+        z = scorer.beta[0] + scorer.beta[1] * max(found, default=0) / 4 + scorer.beta[2] * np.log1p(sum(found)) + scorer.beta[3] * min(4.0, 10 * sum(found) / (10 + len(units)))
+        assert scorer.score(row.text) == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_held_out_documents_are_told_apart(spark):
+    docs, labels = toy_labels(spark, 600)
+    scored = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    held = [r for r in labels.select("doc_id", "toxic").collect() if __import__("zlib").crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(held) > 50 and all((scored[r.doc_id] >= 0.5) == (r.toxic == 1) for r in held)
+
+
+def test_toxicity_with_clashing_columns(spark, scorer):
+    docs, labels = toy_labels(spark, 60)
+    odd = docs.selectExpr("doc_id", "text", "'a' score", "'b' toxic", "1 units", "2 shingle", "3 sketch", "4 other")
+    assert {r.doc_id: r.score for r in toxicity.score(odd, scorer).collect()} == {r.doc_id: r.score for r in toxicity.score(docs, scorer).collect()}
+    assert toxicity.train(odd, labels.withColumn("other", F.lit("x")).withColumn("text", F.lit("y"))).marks == toxicity.train(docs, labels).marks
+    assert toxicity.reject(odd, scorer).columns == odd.columns
+    assert toxicity.train(docs.where("false"), labels).score("x") < 1
+
+
 def test_toxicity_tables(spark, scorer):
     docs = docs_of(spark, [(1, "you idiot moron"), (2, None), (3, ""), (1, "you idiot moron")])
     got = sorted((r.doc_id, round(r.score, 6)) for r in toxicity.score(docs, scorer).collect())
