@@ -1,12 +1,14 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
-Vectors are dealt into blocks; each block keeps one list of its vectors for every dimension, sorted by that component. A query
+Vectors are dealt into blocks; each block keeps one list of its vectors for every dimension, sorted by that component. The lists of a block
+are built once for ``QUERY_BLOCK`` queries, which all read them where they are. A query
 reads the lists of its non-zero dimensions from their better end, scores each vector at first sight, and stops when even
 a vector with the components last read in every list can't beat its k-th score. The best of all blocks are merged.
 
 Cases: vectors that are null or hold null or non-finite components take no part; empty vectors score 0; only vectors of
-one length are compared; equal scores go to the smaller vec_id; rows that share a query's vec_id are its own; an empty
-table gives no rows; extra columns are ignored.
+one length are compared; equal scores go to the smaller vec_id; rows that share a query's vec_id are its own and no candidates; a query
+row that is repeated with its vector is one query, and with another vector another query of that id, with ranks of its own; repeated
+candidates take a rank each; scores beyond a long are given as the nearest long; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from pyspark.sql import functions as F
 from chainloom.llm.common import read, ship
 
 K, EVERY, SCALE = 5, 50, 256
-BLOCK, QUERY_BLOCK, FIRST_DEPTH = 16_384, 1024, 16
+BLOCK, QUERY_BLOCK, FIRST_DEPTH = 16_384, 16_384, 16
 LONG_MAX = 2**63 - 1
 
-RESULT = "query_id long, vec_id long, score long"
+RESULT = "query_id long, query_no long, vec_id long, score long"
 
 
 def integers(column: pd.Series) -> np.ndarray:
@@ -32,19 +34,19 @@ def integers(column: pd.Series) -> np.ndarray:
 
 
 def threshold_search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int = K, depth: int = FIRST_DEPTH) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of each query's k best among ``vectors``."""
+    """(place of the query, vec_id, score) of each query's k best among ``vectors``."""
     if object in (queries.dtype, vectors.dtype):
         queries, vectors = queries.astype(object), vectors.astype(object)
     n, d = vectors.shape
     lists = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
     out = []
-    for q, qid in zip(queries, query_ids, strict=True):
+    for at_query, (q, qid) in enumerate(zip(queries, query_ids, strict=True)):
         used = np.flatnonzero(q != 0)
         seen = np.zeros(n, bool)
         best: list[tuple] = []
         if not len(used):
             best = sorted((0, int(i)) for i in ids if i != qid)[:k]
-            out += [(int(qid), i, 0) for _, i in best]
+            out += [(at_query, i, 0) for _, i in best]
             continue
         down = q[used] > 0
         at, step = 0, depth
@@ -68,7 +70,7 @@ def threshold_search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.nda
             at, step = to, step * 2
             if seen.all():
                 break
-        out += [(int(qid), i, -s) for s, i in best]
+        out += [(at_query, i, -s) for s, i in best]
     return out
 
 
@@ -78,24 +80,26 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK
     ship(spark)
     fine = ~F.coalesce(F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
     table = vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim"))
-    asked = (F.col("vec_id") % every) == 0
-    sizes = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(asked.cast("long")), F.lit(0)).alias("q")).first()
-    blocks, query_blocks = -(-sizes["n"] // block) or 1, -(-sizes["q"] // query_block) or 1
-    of = lambda seed, n: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    every_block = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    # equal query rows are one query, known by its id and 64 bits of id and vector
+    asked = table.where((F.col("vec_id") % every) == 0).dropDuplicates(["vec_id", "embedding"]).withColumn("query_no", F.xxhash64("vec_id", "embedding"))
+    n, q = table.count(), asked.count()
+    blocks, query_blocks = -(-n // block) or 1, -(-q // query_block) or 1
+    of = lambda seed, k: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(k)).cast("int")
+    every_block = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
     # each block of vectors meets each block of queries: the stated query set against all rows
-    queries = table.where(asked).select("vec_id", "embedding", "dim", of(1, query_blocks).alias("qb"), every_block(blocks, "vb"))
+    queries = asked.select("vec_id", "query_no", "embedding", "dim", of(1, query_blocks).alias("qb"), every_block(blocks, "vb"))
     rows = table.select("vec_id", "embedding", "dim", of(2, blocks).alias("vb"), every_block(query_blocks, "qb"))
 
     def search(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(q) and len(v):
             found = threshold_search(integers(q["embedding"]), q["vec_id"].to_numpy(), integers(v["embedding"]), v["vec_id"].to_numpy(), k)
-        found = [(a, b, max(-LONG_MAX - 1, min(LONG_MAX, s))) for a, b, s in found]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+        ids, numbers = q["vec_id"].tolist(), q["query_no"].tolist()
+        found = [(ids[a], numbers[a], b, max(-LONG_MAX - 1, min(LONG_MAX, s))) for a, b, s in found]
+        return pd.DataFrame(found, columns=["query_id", "query_no", "vec_id", "score"]).astype("int64")
 
     local = queries.groupBy("dim", "qb", "vb").cogroup(rows.groupBy("dim", "qb", "vb")).applyInPandas(search, RESULT)
-    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query_no").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -108,12 +112,13 @@ WITH v AS (
   SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), asked AS (
+  SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 50 = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, v.vec_id, CAST(coalesce(list_sum(list_transform(range(1, len(v.e) + 1), lambda i: q.e[i] * v.e[i])), 0) AS BIGINT) AS score
-  FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e)
-  WHERE q.vec_id % 50 = 0
+  SELECT q.vec_id AS query_id, q.e, v.vec_id, CAST(coalesce(list_sum(list_transform(range(1, len(v.e) + 1), lambda i: q.e[i] * v.e[i])), 0) AS BIGINT) AS score
+  FROM asked AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e)
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 5
 """
