@@ -154,7 +154,7 @@ def brute_top(vectors, k=5, every=50):
     ok = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in vectors if v is not None and i is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
     for qi, q in ok:
-        if qi % every == 0:
+        if qi % every == 0:  # equal rows give equal results
             best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), i) for i, v in ok if i != qi and len(v) == len(q))[:k]
             out |= {(qi, n, i, -s) for n, (s, i) in enumerate(best, 1)}
     return out
@@ -172,6 +172,22 @@ def test_topk_against_brute_force(spark):
     assert topk.top_k(df.where("false")).count() == 0
 
 
+def test_repeated_queries(spark):
+    r = random.Random(7)
+    v = [(i, [float(r.randint(-3, 3)) for _ in range(4)]) for i in range(21)]
+    rows = [*v, v[0], (0, [1.0, -2.0, 0.5, 3.0]), v[7]]
+    got = collections.Counter((x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    want = collections.Counter()
+    for q in (v[0][1], [1.0, -2.0, 0.5, 3.0]):
+        best = sorted((-sum(int(np.floor(256 * a)) * int(np.floor(256 * b)) for a, b in zip(q, x, strict=True)), i) for i, x in rows if i != 0)[:5]
+        want.update((0, n, i, -s) for n, (s, i) in enumerate(best, 1))
+    assert got == want
+    import duckdb
+
+    embeddings = spark.createDataFrame(rows, "vec_id long, embedding array<float>").toArrow()  # noqa: F841
+    assert collections.Counter(duckdb.sql(topk.OP2_SQL).fetchall()) == want
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(3)
     x = np.floor(256 * rng.normal(size=(5000, 3)))
@@ -321,6 +337,44 @@ def test_method_follows_what_rules_say(spark):
     assert (got[200], got[201]) == ("block", "allow")
 
 
+def test_long_words_and_common_tokens(spark, monkeypatch):
+    word = "antidisestablishmentarianism"
+    parts = spark.createDataFrame([(f"x{word}good".replace("x", "news"),), (word,), (word[:25],), ("a" * 3000,)], "part string")
+    counts = spark.createDataFrame([(word, 50), ("good", 40), ("news", 30), (word[:22] + "zzz", 5)], "word string, n long")
+    got = {r.part: r.words for r in urls.segment(parts, counts).collect()}
+    assert got[word] == [word] and got[f"news{word}good"] == ["news", word, "good"] and got["a" * 3000] == ["a" * 3000] and "".join(got[word[:25]]) == word[:25]
+    rows = [(i, f"http://w{'abcdefgh'[i % 8]}.{'net' if i % 3 else 'com'}/{'es' if i % 2 else 'de'}/{'xyz'[i % 3]}", None) for i in range(60)] + [(i, f"http://w.org/{'xyzes'[i % 5]}", "<p>es de com</p>") for i in range(60, 70)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n", F.lit("x")).withColumn("w", F.lit(2))
+    want = sorted((r.page_id, r.verdict, r.log_odds) for r in urls.judge(table).collect())
+    monkeypatch.setattr(urls, "COMMON", 1)
+    assert sorted((r.page_id, r.verdict, r.log_odds) for r in urls.judge(table).collect()) == want
+    monkeypatch.setattr(urls, "COMMON", 10**9)
+    assert sorted((r.page_id, r.verdict, r.log_odds) for r in urls.judge(table).collect()) == want
+
+
+def test_verdicts_by_hand(spark):
+    """Naive Bayes over host and path tokens, by plain counting."""
+    r = random.Random(11)
+    rows = [(i, f"http://{r.choice(['casino', 'garden', 'news'])}{r.choice(['spam', 'shop'])}.{r.choice(['com', 'net', 'org'])}/{r.choice(['es', 'fr', 'de'])}/{r.choice(['win', 'read', 'buy'])}", "<p>casino garden news spam shop com net org es fr de win read buy</p>") for i in range(120)]
+    got = {x.page_id: x for x in urls.judge(spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string")).collect()}
+    counts, seen, urls_of = {"allow": collections.Counter(), "block": collections.Counter()}, collections.Counter(), {}
+    for i, url, _ in [*rows, rows[0]]:
+        host, _, path = url[7:].partition("/")
+        pieces = [w for w in ("casino", "garden", "news", "spam", "shop") if w in host.split(".")[0]]
+        pieces.sort(key=host.index)
+        urls_of[i] = [f"h:{w}" for w in [*pieces, host.split(".")[1]]] + [f"p:{w}" for w in path.split("/")]
+        rule = "allow" if host.endswith(".com") else "block" if host.endswith(".net") and path[:3] in ("es/", "fr/") else None
+        if rule:
+            seen[rule] += 1
+            counts[rule].update(urls_of[i])
+    v = len({*counts["allow"], *counts["block"]})
+    total = {k: sum(c.values()) for k, c in counts.items()}
+    for i, tokens in urls_of.items():
+        odds = np.log(seen["block"] / seen["allow"]) + sum(np.log((counts["block"][t] + 1) / (total["block"] + v + 1)) - np.log((counts["allow"][t] + 1) / (total["allow"] + v + 1)) for t in tokens if t in counts["allow"] or t in counts["block"])
+        assert got[i].log_odds == pytest.approx(odds, abs=1e-5)
+        assert got[i].rule is not None or got[i].verdict == ("block" if odds > 0 else "allow")
+
+
 # ---- near-duplicates
 
 
