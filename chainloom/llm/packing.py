@@ -31,6 +31,11 @@ ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_c
 _ENCODERS: dict[str, object] = {}
 
 
+def gave_up(e: Exception) -> bool:
+    """Whether the fast encoder's regex engine ran out of steps or stack."""
+    return isinstance(e, ValueError) or "regex" in str(e).lower() or "stack" in str(e).lower()
+
+
 def encoder(vocabulary: str, ranks_file: str | None):
     """text -> ids as ``tokenizers`` gives them for ``vocabulary``; the same vocabulary as ranks is faster where it is given."""
     key = f"{vocabulary}|{ranks_file}"
@@ -54,8 +59,11 @@ def encoder(vocabulary: str, ranks_file: str | None):
                 if MARK not in text:
                     try:
                         return fast.encode_ordinary(text)
-                    except (ValueError, BaseException) as e:  # its regex engine gives up on some very long runs
-                        if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+                    except Exception as e:  # its regex engine gives up on some very long runs
+                        if not gave_up(e):
+                            raise
+                    except BaseException as e:  # which it may also tell by a panic, which is no Exception
+                        if type(e).__name__ != "PanicException":
                             raise
                 return plain.encode(text, add_special_tokens=False).ids
 
