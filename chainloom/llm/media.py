@@ -1,8 +1,10 @@
 """Audio features of 8-bit samples: polyphase resampling, overlapped log-mel filterbanks, hysteresis energy segments.
 
 A payload is stored losslessly as the samples of a mono 8-bit WAV, read back from these stored bytes and turned into
-a log-mel tensor of fixed shape (``TILE`` frames x ``MELS`` bands per tile; the last tile is padded) with the time span of each
-tile and of each segment louder than its surroundings.
+log-mel tensors of fixed shape (``TILE`` frames x ``MELS`` bands; the last one is padded) with the time span of each
+tensor and of each segment louder than its surroundings. They are stored as an Arrow IPC stream, whose tensor column has Arrow's fixed-shape
+tensor type (a Spark column can only hold such tensors as lists, so the stream is one binary value), and digests are taken of what is
+read back from it.
 
 Cases: null and empty texts are 64 zero bytes; payloads of any length are worked on in blocks; equal payloads give
 equal features; an empty table gives no rows; extra columns are ignored.
@@ -31,9 +33,9 @@ UNIT = 64
 #: Frames transformed at a time.
 BLOCK = 4096
 
-FIELDS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+FIELDS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("tensors_sha256", pa.string())]
 ARROW = pa.schema(FIELDS)
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensors_sha256 string"
 
 
 def payload(data: bytes) -> bytes:
@@ -135,56 +137,82 @@ def features(samples: bytes, rate: int = RATE) -> dict:
     return {"rate": new_rate, "mel": mel, "segments": [(second(a), second(b)) for a, b in segments(mel.mean(axis=1))]}
 
 
-def digest(f: dict) -> str:
-    mel = f["mel"]
-    stats = ",".join(f"{v:.2f}" for v in (*mel.mean(axis=0)[::6], mel.std(), mel.max()))
-    loud = sum(b - a for a, b in f["segments"])
-    return f"frames={len(mel)};mel={stats};segments={len(f['segments'])};loud={loud:.2f}"
-
-
 def tensor_type() -> pa.DataType:
     return pa.fixed_shape_tensor(pa.float32(), [TILE, MELS])
 
 
-def tiles(f: dict) -> tuple[pa.Array, list[tuple[float, float]]]:
-    """The log-mel frames as a fixed-shape Arrow tensor column (TILE x MELS) and the time span of each tile."""
-    mel = f["mel"]
+@cache
+def tensor_schema() -> pa.Schema:
+    """A tile, its time span in seconds, the frames it holds (the others are padding), and the spans of segments that begin in it."""
+    return pa.schema([("mel", tensor_type()), ("from_s", pa.float64()), ("to_s", pa.float64()), ("frames", pa.int32()), ("segments", pa.list_(pa.list_(pa.float64(), 2)))])
+
+
+def tiles(f: dict) -> pa.RecordBatch:
+    """The log-mel frames as rows of ``tensor_schema``."""
+    mel, second = f["mel"], HOP / f["rate"]
     n = -(-len(mel) // TILE)
     full = np.full((n * TILE, MELS), -6, np.float32)
     full[: len(mel)] = mel
-    storage = pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), TILE * MELS)
-    column = pa.ExtensionArray.from_storage(tensor_type(), storage)
-    return column, [(i * TILE * HOP / f["rate"], min(len(mel), (i + 1) * TILE) * HOP / f["rate"]) for i in range(n)]
+    column = pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), TILE * MELS))
+    start = np.arange(n) * TILE
+    stop = np.minimum(start + TILE, len(mel))
+    begun: list[list] = [[] for _ in range(n)]
+    for a, b in f["segments"]:
+        begun[min(n - 1, int(a / second + 0.5) // TILE)].append([a, b])
+    return pa.RecordBatch.from_arrays([column, pa.array(start * second), pa.array(stop * second), pa.array((stop - start).astype(np.int32)), pa.array(begun, tensor_schema().types[4])], schema=tensor_schema())
+
+
+def to_stream(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as w:
+        w.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def from_stream(stored: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(stored) as r:
+        return r.read_next_batch()
+
+
+def digest(rows: pa.RecordBatch) -> str:
+    """Of stored tensors: frames, band means, spread and peak, the time they span, and the segments."""
+    mel = rows.column(0).to_numpy_ndarray().reshape(-1, MELS)[: sum(rows.column(3).to_pylist())]
+    found = [s for row in rows.column(4).to_pylist() for s in row]
+    stats = ",".join(f"{v:.2f}" for v in (*mel.mean(axis=0)[::6], mel.std(), mel.max()))
+    return f"frames={len(mel)};tiles={len(rows)};mel={stats};seconds={rows.column(2)[-1].as_py():.3f};segments={len(found)};loud={sum(b - a for a, b in found):.2f}"
+
+
+def tensors_of(text: str | None) -> tuple[bytes, bytes, bytes]:
+    """The payload's bytes, the stored WAV, and the stored tensors of what is read back from it."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    stored = to_wav(payload(data))
+    samples, rate = from_wav(stored)
+    return data, stored, to_stream(tiles(features(samples, rate)))
 
 
 def audio_tensors(docs: DataFrame) -> DataFrame:
-    """(doc_id, tile, from_s, to_s, mel array<float> of TILE * MELS values, segments): the tensors' storage, which
-    Spark keeps as lists of one length; ``tensor_type()`` is the Arrow type to read them with."""
-    arrow = pa.schema([("doc_id", pa.int64()), ("tile", pa.int32()), ("from_s", pa.float64()), ("to_s", pa.float64()), ("mel", pa.list_(pa.float32())), ("segments", pa.list_(pa.list_(pa.float64())))])
+    """(doc_id, media binary, tensors binary): the stored WAV of each document and its tensors, for ``from_stream``."""
+    arrow = pa.schema([("doc_id", pa.int64()), ("media", pa.binary()), ("tensors", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                samples, rate = from_wav(to_wav(payload((text or "").encode())))
-                f = features(samples, rate)
-                column, spans = tiles(f)
-                inside = [[list(s) for s in f["segments"] if s[0] < to and s[1] > at] for at, to in spans]
-                yield batch(arrow, [[doc_id] * len(spans), list(range(len(spans))), [s[0] for s in spans], [s[1] for s in spans], column.storage.to_pylist(), inside])
+                _, media, tensors = tensors_of(text)
+                yield batch(arrow, [[doc_id], [media], [tensors]])
 
-    return arrow_map(doc_table(docs), run, "doc_id long, tile int, from_s double, to_s double, mel array<float>, segments array<array<double>>")
+    return arrow_map(doc_table(docs), run, "doc_id long, media binary, tensors binary")
 
 
 def audio_digests(docs: DataFrame) -> DataFrame:
-    """One row per document with digests of what was stored and read back, and of its features."""
+    """One row per document with digests of what was stored and read back, and of its tensors, which are read back too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = (text or "").encode()
-                stored = to_wav(payload(data))
-                samples, rate = from_wav(stored)
-                rows.append((doc_id, len(data), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), digest(features(samples, rate))))
+                data, stored, tensors = tensors_of(text)
+                samples, _ = from_wav(stored)
+                rows.append((doc_id, len(data), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), digest(from_stream(tensors)), hashlib.sha256(tensors).hexdigest()))
             if rows:
                 yield batch(ARROW, list(zip(*rows, strict=True)))
 
