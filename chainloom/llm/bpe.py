@@ -4,6 +4,9 @@ A byte pair that occurs inside no vocabulary token can never be merged across, s
 pre-token is a certain cut. The fragments between cuts are encoded independently by the ranked merges and
 their ids concatenated; fragments repeat, so each worker remembers those it has met.
 
+Letters, numbers and capitals are classed by the Unicode version that the file's own normalizer and splitter know. They agree with ours on all
+characters that Unicode 15.1 assigns but three marks; texts with any other character are normalized and split by the file's own.
+
 Cases: null and empty texts have no ids and decode to the empty text; a very long run without cuts is
 merged with a heap in n log n; equal texts give equal rows; an empty table gives no rows; extra columns are ignored.
 """
@@ -13,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,6 +32,35 @@ REMEMBER = 400_000
 NEVER = 1 << 60
 WHITE = r"[\t-\r \x85\xa0  -     　]"
 
+
+
+# Marks whose order among others differs between Unicode versions.
+REORDERED = frozenset("\u1df6\U0001e4ec\U0001e4ed")
+
+
+def unassigned() -> re.Pattern:
+    """Characters of the basic plane that this Python's Unicode doesn't assign, and all of the other planes."""
+    found, start = [], None
+    for c in range(0x10001):
+        odd = c < 0x10000 and (unicodedata.category(chr(c)) == "Cn" or chr(c) in REORDERED)
+        if odd and start is None:
+            start = c
+        elif not odd and start is not None:
+            found.append(f"\\u{start:04x}-\\u{c - 1:04x}")
+            start = None
+    return re.compile(f"[{''.join(found)}\U00010000-\U0010ffff]")
+
+
+UNASSIGNED = unassigned()
+
+
+def is_odd(text: str) -> bool:
+    """Whether a text has a character that Unicode versions class differently."""
+    if text.isascii() or not UNASSIGNED.search(text):
+        return False
+    return any(unicodedata.category(c) == "Cn" or c in REORDERED for c in set(text) if not c.isascii())
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -67,6 +100,8 @@ class ForcedBpe:
             units = self.units(token.removesuffix(self.suffix), token.endswith(self.suffix))
             inside.update(zip(units, units[1:], strict=False))
         self.inside = inside
+        self.path = path
+        self.library = None
         self.word_ids: dict[str, tuple[int, ...]] = {}
         self.fragment_ids: dict[tuple[str, ...], tuple[int, ...]] = {}
 
@@ -110,8 +145,12 @@ class ForcedBpe:
         return tuple(self.vocab[p] for p in parts if p is not None and p in self.vocab)
 
     def word(self, word: str) -> tuple[int, ...]:
-        """Ids of a pre-token: cut where no token holds the pair, encode fragments, concatenate."""
-        units = self.units(word.encode().decode("latin-1").translate(self.letters), True)
+        """Ids of a pre-token."""
+        return self.of_letters(word.encode().decode("latin-1").translate(self.letters))
+
+    def of_letters(self, letters: str) -> tuple[int, ...]:
+        """Ids of the letters of a pre-token's bytes: cut where no token holds the pair, encode fragments, concatenate."""
+        units = self.units(letters, True)
         ids: tuple[int, ...] = ()
         start = 0
         for i in range(1, len(units) + 1):
@@ -127,7 +166,18 @@ class ForcedBpe:
                 start = i
         return ids
 
+    def encode_odd(self, text: str) -> list[int]:
+        """As ``encode_plain``, with the normalizer and splitter of the file."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        text = self.library.normalizer.normalize_str(text)
+        return [i for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text) for i in self.of_letters(w)]
+
     def encode_plain(self, text: str) -> list[int]:
+        if is_odd(text):
+            return self.encode_odd(text)
         text = unicodedata.normalize("NFC", text)
         text = self.white.sub(" ", text).replace("Σ", "σ").lower()
         ids: list[int] = []

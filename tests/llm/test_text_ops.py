@@ -46,6 +46,15 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode_digests(empty(spark), path).count() == 0
 
 
+def test_every_character_is_classed_as_the_library_does():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, b = Tokenizer.from_file(path), bpe.coder(path)
+    points = [c for c in [*range(0x30000), *range(0xE0000, 0xE0200), 0x10FFFF] if not 0xD800 <= c < 0xE000]
+    texts = ["x" + chr(c) + "b1 " + chr(c) + "\u0301" for c in points]
+    wrong = [hex(c) for c, x, e in zip(points, texts, t.encode_batch(texts, add_special_tokens=False), strict=True) if b.encode(x) != e.ids]
+    assert not wrong
+
+
 def test_forced_cuts_are_never_inside_a_token():
     b = bpe.coder(public_tokenizers.path("word_bpe_49k.json"))
     for token in random.Random(1).sample(sorted(b.vocab), 3000):
@@ -139,11 +148,36 @@ def test_segments_have_hysteresis():
 
 
 def test_tensors_have_one_shape(spark):
-    rows = media.audio_tensors(table(spark, ["abc", "q" * 9000, None])).collect()
-    assert all(len(r.mel) == media.TILE * media.MELS and r.from_s < r.to_s for r in rows)
-    assert media.tensor_type().shape == [media.TILE, media.MELS]
-    column, spans = media.tiles(media.features(media.payload(b"q" * 9000)))
-    assert len(column) == len(spans) and column.type == media.tensor_type()
+    texts = ["abc", "q" * 9000, None, "".join(random.Random(1).choice("aé zZ~") for _ in range(70_000))]
+    stored = {r.doc_id: r for r in media.audio_tensors(table(spark, texts)).collect()}
+    digests = {r.doc_id: r for r in media.audio_digests(table(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        rows = media.from_stream(bytes(stored[i].tensors))
+        assert rows.schema.field("mel").type == media.tensor_type() and media.tensor_type().shape == [media.TILE, media.MELS]
+        x = (np.frombuffer(media.payload((text or "").encode()), np.uint8).astype(np.float32) - 128) / 128
+        mel = media.log_mel(media.resample(x, 1, 2), 8000)
+        got = rows.column(0).to_numpy_ndarray().reshape(-1, media.MELS)
+        assert np.array_equal(got[: len(mel)], mel) and (got[len(mel) :] == -6).all() and len(rows) == -(-len(mel) // media.TILE)
+        frames = rows.column(3).to_pylist()
+        assert sum(frames) == len(mel) and rows.column(1).to_pylist() == [k * media.TILE * 0.01 for k in range(len(rows))]
+        assert rows.column(2)[-1].as_py() == pytest.approx(len(mel) * 0.01)
+        loud = [s for row in rows.column(4).to_pylist() for s in row]
+        assert loud == [[a * 0.01, b * 0.01] for a, b in media.segments(mel.mean(axis=1))]
+        assert digests[i].feature == media.digest(rows) and digests[i].tensors_sha256 == hashlib.sha256(bytes(stored[i].tensors)).hexdigest()
+        assert hashlib.sha256(bytes(stored[i].media)).hexdigest() == digests[i].media_sha256
+
+
+def test_log_mel_by_hand():
+    x = np.random.default_rng(5).normal(size=500).astype(np.float32)
+    got = media.log_mel(x, 8000)
+    edges = 700 * (10 ** (np.linspace(2595 * np.log10(1 + 20 / 700), 2595 * np.log10(1 + 4000 / 700), media.MELS + 2) / 2595) - 1)
+    padded = np.concatenate([x, np.zeros(1000)])
+    for k in (0, 2, len(got) - 1):
+        frame = padded[k * media.HOP : k * media.HOP + media.FRAME] * np.hanning(media.FRAME)
+        power = [abs(sum(frame * np.exp(-2j * np.pi * i * np.arange(media.FRAME) / 256))) ** 2 for i in range(129)]
+        for m in (0, 7, media.MELS - 1):
+            total = sum(p * max(0.0, min((i * 8000 / 256 - edges[m]) / (edges[m + 1] - edges[m]), (edges[m + 2] - i * 8000 / 256) / (edges[m + 2] - edges[m + 1]))) for i, p in enumerate(power))
+            assert got[k, m] == pytest.approx(np.log10(total + 1e-6), abs=1e-3)
 
 
 GOOD = "The house of the man is on the hill and it was there that we had to be in the morning, with all of the others who were to come. "
