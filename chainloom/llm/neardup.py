@@ -10,8 +10,8 @@ that may be linked leave a task. The union sketch of a pair estimates its simila
 sets. Components come from alternating star contractions, whose rounds grow with the logarithm of a chain.
 
 Cases: null and empty texts have an empty set and are linked with nothing; fewer words than a shingle are one shingle;
-equal rows and copies share a class; texts of any length are shingled whole; rows without a doc_id can't carry a link and
-come back alone; an empty table gives no rows; extra columns are ignored.
+equal rows and copies share a class; a doc_id with different texts is one document, linked through each of them; texts of any length are
+shingled whole; rows without a doc_id can't carry a link and come back alone; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm.common import arrow_map, batch, doc_table, materialize, mix64, most_frequent, read, words
+from chainloom.llm.common import arrow_map, batch, discard, doc_table, materialize, mix64, most_frequent, read, words
 
 #: Words of a shingle; the similarity of a link in per cent, where a caller names no other.
 SHINGLE, SIMILAR = 5, 85
@@ -97,6 +97,11 @@ def listed_length(n: int, similar: int = SIMILAR) -> int:
     return held - min(math.ceil(similar * n / 100), shared_at_least(similar)) + 1
 
 
+def class_key(values: np.ndarray) -> bytes:
+    """A 128-bit digest of a set."""
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class_key, sketch, buckets): class_key is a 128-bit digest of the set."""
     arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_key", pa.binary()), ("sketch", pa.list_(pa.int64())), ("buckets", pa.binary())])
@@ -104,7 +109,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t) for t in b.column(1).to_pylist()]
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            keys = [class_key(s) for s in sets]
             yield batch(arrow, [b.column(0), [len(s) for s in sets], keys, pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64())), [bucket_counts(s) for s in sets]])
 
     return arrow_map(docs, run, "doc_id long, n_shingles long, class_key binary, sketch array<long>, buckets binary")
@@ -187,12 +192,12 @@ def family_pairs(members: DataFrame, classes: DataFrame, similar: int) -> DataFr
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similar: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar. A star's members are dealt over tasks, each with its centre's text."""
+    """Pairs (a, b) of nodes of ``docs`` (node, text) whose full sets are similar. A star's members are dealt over tasks, each with its centre's text."""
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / SPREAD))
     dealt = pairs.join(materialize(pairs.groupBy("a").agg(F.count("*").alias("many")), "star-sizes"), "a").select("a", "b", salt.alias("salt"))
     centres = dealt.select("a", "salt").distinct()
     asks = dealt.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("role")).unionByName(centres.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("role")))
-    texts = asks.join(docs, "doc_id").select("a", "salt", "role", F.col("doc_id").alias("b"), "text")
+    texts = asks.join(docs.select(F.col("node").alias("doc_id"), "text"), "doc_id").select("a", "salt", "role", F.col("doc_id").alias("b"), "text")
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,26 +229,56 @@ def components(edges: DataFrame) -> DataFrame:
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "edges")
+        discard(now, least)
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = materialize(small, "edges")
+        discard(large, least)
         after = mark(now)
         if after == before:
             break
         before = after
     low = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return low.unionByName(low.select(F.col("component").alias("id"), "component").distinct())
+    out = materialize(low.unionByName(low.select(F.col("component").alias("id"), "component").distinct()), "components")
+    discard(now)
+    return out
+
+
+def named(sets: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``sets`` and ``texts`` with a node id for each set of a document, and links (a, b) of nodes of one document.
+
+    The node of a document is its doc_id; where a doc_id has different sets, each of them has a node of its own above 2**62, linked to
+    the doc_id. Most tables have no such ids, and nothing is done for them."""
+    many = materialize(sets.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("class_key").alias("low"), F.max("class_key").alias("high")).where("low <> high").select("doc_id"), "repeated-ids")
+    if not many.limit(1).count():
+        discard(many)
+        return sets.withColumn("node", F.col("doc_id")), texts.withColumn("node", F.col("doc_id")), None
+    of_set = F.shiftrightunsigned(F.xxhash64("doc_id", "class_key"), 2).bitwiseOR(F.lit(1 << 62))
+    marked = many.withColumn("many", F.lit(True))
+    node = F.when(F.col("many") & F.col("class_key").isNotNull(), of_set).otherwise(F.col("doc_id"))
+    sets = sets.join(marked, "doc_id", "left").withColumn("node", node).drop("many")
+    odd = texts.join(many, "doc_id", "left_semi")
+    apart = materialize(sketches(odd).select("doc_id", "class_key").distinct().withColumn("node", of_set), "repeated-nodes")
+    keyed = arrow_map(odd, _with_key, "doc_id long, text string, class_key binary").select("doc_id", "text", of_set.alias("node"))
+    whole = texts.join(many, "doc_id", "left_anti").select("doc_id", "text", F.col("doc_id").alias("node")).unionByName(keyed)
+    return sets, whole, apart.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+
+
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("class_key", pa.binary())])
+    for b in batches:
+        yield batch(arrow, [b.column(0), b.column(1), [class_key(shingles(t)) for t in b.column(1).to_pylist()]])
 
 
 def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row. Sets whose similarity is ``similar`` per cent or more are linked."""
-    texts = doc_table(docs)
-    sets = materialize(sketches(texts), "sketches")
+    table = doc_table(docs)
+    sets, texts, same = named(materialize(sketches(table), "sketches"), table)
     linked = sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    keys = materialize(linked.groupBy("class_key").agg(F.min("doc_id").alias("id")), "classes")
+    keys = materialize(linked.groupBy("class_key").agg(F.min("node").alias("id")), "classes")
     classes = materialize(
-        linked.join(keys.withColumnRenamed("id", "doc_id"), ["class_key", "doc_id"], "left_semi").dropDuplicates(["doc_id", "class_key"]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "buckets"), "class-sketches"
+        linked.join(keys.withColumnRenamed("id", "node"), ["class_key", "node"], "left_semi").dropDuplicates(["node"]).select(F.col("node").alias("id"), F.col("n_shingles").alias("n"), "sketch", "buckets"), "class-sketches"
     )
     lists = materialize(postings(classes, similar), "lists")
     # the most frequent values first, then a hash: one number, so that the aggregation needs no sort
@@ -252,13 +287,16 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     centres = materialize(best.where("many > 1"), "centres")
     alike = lambda x, y: 100 * F.least(x, y) >= similar * F.greatest(x, y)
     met = materialize(lists.select("value", "id", "n").join(centres, "value"), "met")
+    discard(lists, centres)
     stars = materialize(estimated(met.where((F.col("id") != F.col("a")) & alike(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct(), classes, similar), "stars")
     links = materialize(verified(stars, texts, similar), "links")
-    first = materialize(components(links), "first-components")
+    first = components(links)
     # what a star left apart: members of one list in different components, and not compared yet
     placed = materialize(met.join(first, "id", "left").select("value", "id", "n", "many", "a", F.coalesce("component", "id").alias("component")), "placed")
+    discard(met)
     mixed = materialize(placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value"), "mixed")
     rest = materialize(placed.join(mixed, "value"), "apart")
+    discard(placed, mixed)
     x = rest.where(F.col("many") <= SHORT).select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     y = rest.where(F.col("many") <= SHORT).select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     near = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
@@ -266,8 +304,16 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     crossing = estimated(near, classes, similar).unionByName(family_pairs(crowd, classes, similar)).distinct().join(known, ["a", "b"], "left_anti")
     more = materialize(crossing, "crossing")
-    found = components(links.unionByName(verified(more, texts, similar))) if more.limit(1).count() else first
-    root = keys.join(found, "id", "left").select("class_key", F.coalesce("component", "id").alias("component_id"))
+    discard(rest, crowd, stars)
+    if same is not None:  # documents join the classes of all of their sets
+        of_class = linked.where(F.col("node") != F.col("doc_id")).join(keys, "class_key").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+        links = links.unionByName(same).unionByName(of_class)
+    if same is not None or more.limit(1).count():
+        found = components(links.unionByName(verified(more, texts, similar)))
+    else:
+        found = first
+    root = materialize(keys.join(found, "id", "left").select("class_key", F.coalesce("component", "id").alias("component_id")), "roots")
+    discard(classes, first, found, more)
     joined = sets.join(root, "class_key", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -479,7 +479,10 @@ def with_spans(docs: DataFrame, width: int, words: int) -> DataFrame:
         spans = spans.join(repeated_windows(keyed, in_words(words)).withColumnRenamed("spans", "word_spans"), KEYS, "full")
     else:
         spans = spans.withColumn("word_spans", F.lit(None).cast("array<struct<a:int,b:int>>"))
-    return docs.select(*row_keys(docs), F.struct(*docs.columns).alias("row")).join(spans, KEYS, "left").select("row.*", "spans", "word_spans")
+    taken, names = {c.lower() for c in docs.columns}, ["spans", "word_spans"]
+    while taken.intersection(names):
+        names = [n + "_" for n in names]
+    return docs.select(*row_keys(docs), F.struct(*docs.columns).alias("row")).join(spans, KEYS, "left").select("row.*", F.col("spans").alias(names[0]), F.col("word_spans").alias(names[1]))
 
 
 def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, words: int = 0) -> DataFrame:

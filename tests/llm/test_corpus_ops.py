@@ -436,6 +436,14 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == [(0, 0, True), (1, 1, True), (2, 1, False), (2, 1, False)]
 
 
+def test_an_id_with_different_texts_is_one_document(spark):
+    w = lambda x, n=30: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(5, w("a")), (5, w("b")), (3, w("a") + " end"), (9, w("b")), (9, w("c")), (12, w("c") + " end"), (20, w("d")), (20, ""), (21, w("d")), (30, w("e")), (None, w("a"))]
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs_of(spark, rows)).collect())
+    want = [(5, 26, 3, False), (5, 26, 3, False), (3, 27, 3, True), (9, 26, 3, False), (9, 26, 3, False), (12, 27, 3, False), (20, 26, 20, True), (20, 0, 20, True), (21, 26, 20, False), (30, 26, 30, True), (None, 26, None, True)]
+    assert got == collections.Counter(want)
+
+
 def test_threshold_of_links(spark):
     base = [f"w{i}" for i in range(104)]
     rows = [(1, " ".join(base)), (2, " ".join(base[:30] + ["x"] + base[31:70] + ["y"] + base[71:])), (3, " ".join(base[:84]))]  # 90 of 110 and 80 of 100 are shared with the first
@@ -500,3 +508,52 @@ def test_pipeline(spark, tmp_path, monkeypatch):
     for x in rows:
         total[x.doc_id] += x.length
     assert total == {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in after.items()}
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline as p
+
+    docs, labels = toy_labels(spark, 60)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    w = lambda x, n=60: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(1, w("a")), (1, w("a")), (2, w("a")), (2, w("b")), (3, w("b")), (4, None), (4, ""), (None, w("c")), (None, w("c")), (5, w("d") + " x" * 20_000), (6, ""), (7, w("e"))]
+    odd = docs_of(spark, rows).withColumn("score", F.lit(1)).withColumn("node", F.lit("n")).withColumn("spans", F.lit(1.5)).withColumn("row", F.lit(2)).withColumn("many", F.lit("m"))
+    for table, left in ((odd, None), (odd.where("false"), 0)):
+        at = table
+        for name, stage in p.STAGES[:-1]:
+            at = stage(spark, at, str(tmp_path))
+            assert at.columns == odd.columns and at.schema.simpleString() == odd.schema.simpleString(), name
+            if name == "near_dedup" and left is None:
+                assert collections.Counter((r.doc_id, (r.text or "")[:2]) for r in at.collect()) == collections.Counter({(1, "a0"): 1, (4, ""): 2, (None, "c0"): 1, (5, "d0"): 1, (6, ""): 1, (7, "e0"): 1})
+        assert p.packing(spark, at, str(tmp_path)).count() == 0 if left == 0 else p.packing(spark, at, str(tmp_path)).count() > 6
+
+
+@pytest.mark.parametrize(("master", "alone"), [("local", True), ("local[8]", True), ("local-cluster[3,2,1000]", False), ("spark://host:7077", False), ("yarn", False)])
+def test_no_shared_folder(master, alone):
+    from types import SimpleNamespace
+
+    from chainloom.llm import common
+
+    set_to = []
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=set_to.append)
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=context)
+    if alone:
+        assert common.shared_dir(bare) == set_to[0]
+    else:
+        with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+            common.shared_dir(bare)
+
+
+def test_scratch_tables_are_deleted(spark):
+    from chainloom.llm import common
+
+    t = common.materialize(spark.range(3), "scratch")
+    path = t.scratch_path.removeprefix("file://").removeprefix("file:")
+    import os
+
+    assert os.path.isdir(path) and t.count() == 3
+    common.discard(t)
+    common.discard(t, spark.range(3))
+    assert not os.path.isdir(path)
