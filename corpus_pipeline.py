@@ -17,15 +17,17 @@ NEAR = 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under the toxicity threshold; the model is learnt from the labelled documents of sf_dir."""
+    """Documents under the toxicity threshold; the model is learnt from the labelled documents of sf_dir. Null and empty texts stay,
+    repeated rows go or stay together, columns of any name are kept, an empty table stays empty."""
     return reject(docs, train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component, and documents without words. Of rows that repeat a doc_id and
-    its text one stays; texts are only compared where ids repeat at all."""
-    kept = near_duplicates(docs, NEAR).where("kept").select("doc_id").distinct()
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """The document with the smallest doc_id of each component, and documents without words. Rows without a doc_id stay. Of rows that
+    repeat a doc_id and its text one stays; a doc_id with different texts is one document, whose rows stay or go together. Texts
+    are only compared where ids repeat at all."""
+    gone = near_duplicates(docs, NEAR).where("not kept").select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     ids = docs.select("doc_id")
     return out.dropDuplicates(["doc_id", "text"]) if ids.count() != ids.distinct().count() else out
 
@@ -36,7 +38,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
+    """Pieces of the documents in sequences. Null and empty texts are the end id alone, repeated rows are packed one by one, an empty table
+    gives no pieces, other columns are ignored."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
