@@ -24,7 +24,6 @@ id and text, and a word by 64 bits (only where words are the symbols).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -47,9 +46,8 @@ PART = 16
 SEGMENT = 1 << 22
 POSITION = np.uint64((1 << 23) - 1)
 BASE = 0x9E3779B97F4A7C15 | 1
-WORD = re.compile(rb"[^\x20\x09-\x0d]+")
-#: Words remembered by a worker.
-REMEMBER = 500_000
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 class Kind(NamedTuple):
@@ -77,7 +75,11 @@ def in_words(width: int) -> Kind:
     return Kind(width, 8)
 
 
-_WORDS: dict[bytes, int] = {}
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends."""
+    spaces = SPACE[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], spaces, [True]])))
+    return edges[::2], edges[1::2]
 
 
 def symbols(text: str, kind: Kind) -> bytes:
@@ -85,15 +87,18 @@ def symbols(text: str, kind: Kind) -> bytes:
     data = text.encode("utf-8", "surrogatepass")
     if kind.unit == 1:
         return data
-    known, out = _WORDS, []
-    for w in data.split():
-        h = known.get(w)
-        if h is None:
-            if len(known) >= REMEMBER:
-                known.clear()
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64).tobytes()
+    start, end = word_bounds(data)
+    out = [np.zeros(0, np.uint64)]
+    whole, first = np.frombuffer(data, np.uint8), 0
+    while first < len(start):  # words of about a segment at a time
+        last = max(first + 1, int(np.searchsorted(end, start[first] + SEGMENT, "right")))
+        a, b, base = start[first:last], end[first:last], start[first]
+        up, down = _POWERS.to(int(b[-1] - base) + 1)
+        total = np.zeros(int(b[-1] - base) + 1, np.uint64)
+        np.cumsum((whole[base : b[-1]].astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        out.append(mix64((total[b - base] - total[a - base]) * down[a - base]))
+        first = last
+    return np.concatenate(out).tobytes()
 
 
 # ---- anchors ------------------------------------------------------------------------------------------------------------------------
@@ -144,8 +149,8 @@ def gram_of(width: int) -> int:
     return max(1, width // 4)
 
 
-def contexts(data: bytes, kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(fingerprint, first window, number of windows) of the contexts of ``data``, segment by segment."""
+def contexts(data: bytes, kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(fingerprint, hash, first window, number of windows) of the contexts of ``data``, segment by segment; the hash is of all symbols."""
     gram, width = gram_of(kind.width), kind.width
     whole = kind.array(data)
     for at in range(0, kind.windows(data), SEGMENT):
@@ -154,7 +159,14 @@ def contexts(data: bytes, kind: Kind) -> Iterator[tuple[np.ndarray, np.ndarray,
         least = sliding_min((h & ~POSITION) | np.arange(len(h), dtype=np.uint64), width - gram + 1)
         place = (least & POSITION).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-        yield h[place[first]], first + at, np.diff(np.concatenate([first, [len(place)]]))
+        n = np.diff(np.concatenate([first, [len(place)]]))
+        if kind.unit == 1:
+            ctx = np.array([xxhash.xxh3_64_intdigest(kind.cut(data, i, k)) for i, k in zip((first + at).tolist(), n.tolist(), strict=True)], np.uint64)
+        else:  # hashes of words are summed up as they are
+            up, down = _POWERS.to(len(x) + 1)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * up[:-1])])
+            ctx = mix64((total[first + n + width - 1] - total[first]) * down[first] + n.astype(np.uint64))
+        yield h[place[first]], ctx, first + at, n
 
 
 def anchor_of(data: bytes, kind: Kind) -> int:
@@ -179,7 +191,7 @@ def rises(t: np.ndarray) -> np.ndarray:
 def two_stage(t: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """Places with ``wanted`` set (and those needed to induce them), by the first ``depth`` symbols of their suffixes.
 
-    ``t``: symbols from 1 on, with 0 at the end of each string. A suffix ends with its string."""
+    ``t``: bytes plus 1, with 0 at the end of each string. A suffix ends with its string."""
     rise = rises(t)
     # a place that isn't sorted directly is induced from its successor, so the chain up to the next direct one is needed
     nearest = np.where(rise, np.arange(len(t)), len(t))
@@ -193,9 +205,8 @@ def two_stage(t: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     direct = np.flatnonzero(needed & rise & (t > 0))
     ends = np.flatnonzero(t == 0)
     stop = ends[np.searchsorted(ends, direct)]
-    size = 1 if t.dtype == np.uint16 else 4  # bytes in whose order symbols are compared
-    raw = (np.maximum(t, 1) - 1).astype(np.uint8 if size == 1 else ">u4").tobytes()
-    keys = [raw[i:j] for i, j in zip((size * direct).tolist(), (size * np.minimum(direct + depth, stop)).tolist(), strict=True)]
+    raw = (np.maximum(t, 1) - 1).astype(np.uint8).tobytes()
+    keys = [raw[i:j] for i, j in zip(direct.tolist(), np.minimum(direct + depth, stop).tolist(), strict=True)]
     order = sorted(range(len(keys)), key=keys.__getitem__)
     direct = direct[order]
     del keys
@@ -253,21 +264,31 @@ def suffix_array(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return places, common_prefixes(t, places, max(1, len(data)))
 
 
+def as_bytes(texts: list[bytes], kind: Kind) -> tuple[list[bytes], int]:
+    """Words as their ranks among the words of ``texts``, in as few bytes each as hold these; the number of bytes."""
+    if kind.unit == 1:
+        return texts, 1
+    found, rank = np.unique(kind.array(b"".join(texts)), return_inverse=True)
+    size = max(1, (int(len(found) - 1).bit_length() + 7) // 8)
+    flat = rank.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - size :].tobytes()
+    stops = np.cumsum([len(x) // kind.unit * size for x in texts]).tolist()
+    return [flat[i:j] for i, j in zip([0, *stops], stops, strict=False)], size
+
+
 def repeated(texts: list[bytes], counts: list[int], kind: Kind) -> list[np.ndarray]:
     """For each text whether each of its windows occurs more than once. counts: how often the text itself occurs."""
-    width = kind.width
-    lengths = np.array([len(x) // kind.unit for x in texts])
-    sizes = lengths + 1
+    texts, step = as_bytes(texts, kind)
+    width = step * kind.width
+    sizes = np.array([len(x) + 1 for x in texts])
     start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    joined = kind.array(b"".join(texts))
-    t = np.zeros(int(sizes.sum()), np.uint16 if kind.unit == 1 else np.int32)
-    inside = np.ones(len(t), bool)
-    inside[start + lengths] = False
-    t[inside] = joined.astype(np.uint16) + 1 if kind.unit == 1 else np.unique(joined, return_inverse=True)[1] + 1
+    t = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + 1
+    t[start + sizes - 1] = 0
     window = np.zeros(len(t) + 1, np.int32)
     window[start] += 1
     np.add.at(window, start + sizes - width, -1)
     window = np.cumsum(window[:-1]) > 0
+    if step > 1:
+        window &= (np.arange(len(t)) - np.repeat(start, sizes)) % step == 0
     places = two_stage(t, window, width)
     places = places[window[places]]
     same = common_prefixes(t, places, width) >= width
@@ -275,7 +296,7 @@ def repeated(texts: list[bytes], counts: list[int], kind: Kind) -> list[np.ndarr
     twice[:-1] |= same[1:]
     found = np.zeros(len(t), bool)
     found[places[twice]] = True
-    return [found[a : a + n - width] | (k > 1) for a, n, k in zip(start.tolist(), sizes.tolist(), counts, strict=True)]
+    return [found[a : a + n - width : step] | (k > 1) for a, n, k in zip(start.tolist(), sizes.tolist(), counts, strict=True)]
 
 
 # ---- the operator -----------------------------------------------------------------------------------------------------------------------
@@ -309,9 +330,8 @@ def occurrences(docs: DataFrame, kind: Kind) -> DataFrame:
             parts: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for key, key2, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 data = symbols(text, kind)
-                for fp, first, n in contexts(data, kind):
-                    ctx = [xxhash.xxh3_64_intdigest(kind.cut(data, i, k)) for i, k in zip(first.tolist(), n.tolist(), strict=True)]
-                    for part, x in zip(parts, (fp.view(np.int64), np.array(ctx, np.uint64).view(np.int64), np.full(len(fp), key, np.int64), np.full(len(fp), key2, np.int64), first.astype(np.int32), n.astype(np.int32)), strict=True):
+                for fp, ctx, first, n in contexts(data, kind):
+                    for part, x in zip(parts, (fp.view(np.int64), ctx.view(np.int64), np.full(len(fp), key, np.int64), np.full(len(fp), key2, np.int64), first.astype(np.int32), n.astype(np.int32)), strict=True):
                         part.append(x)
             if parts[0]:
                 yield batch(arrow, [pa.array(np.concatenate(p)) for p in parts])
@@ -466,8 +486,8 @@ def word_stretches(data: bytes, spans: list | None, width: int) -> list[tuple[in
     """Stretches of bytes, each from the first to the last of its words, that window starts in words cover."""
     if not spans:
         return []
-    words = [m.span() for m in WORD.finditer(data)]
-    return [(words[a][0], words[b - 1][1]) for a, b in covered(spans, width, 1)]
+    start, end = word_bounds(data)
+    return [(int(start[a]), int(end[b - 1])) for a, b in covered(spans, width, 1)]
 
 
 def with_spans(docs: DataFrame, width: int, words: int) -> DataFrame:
@@ -496,6 +516,9 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, words: int = 0)
             out = []
             for text, spans, word_spans in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
+                if not spans and not word_spans:
+                    out.append((len(data), 0, 0, data, text or "", text or ""))
+                    continue
                 gone = covered(spans, min_bytes)
                 clean = without(data, sorted([*gone, *word_stretches(data, word_spans, words)]))
                 kept = without(data, gone)
