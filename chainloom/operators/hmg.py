@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from chainloom.functions.suffix import with_suffix
 from chainloom.functions.urls import path_depth, url_join, url_netloc, url_path, url_query
 from chainloom.operators.requests import RECEIVED, SENT
+from chainloom.sources.scratch import materialize
 
 
 def messages(events: DataFrame) -> DataFrame:
@@ -197,7 +198,7 @@ def shapes(n: DataFrame, e: DataFrame) -> DataFrame:
         pr = pagerank(size, src, dst)
         degree = np.bincount(np.concatenate([src, dst]), minlength=size) / max(1, size - 1) if size > 1 else np.ones(size)
         between = betweenness(size, src, dst)
-        p, d = int(np.argmax(pr)), int(np.argmax(degree))
+        p, d = int(np.argmax(np.round(pr, 12))), int(np.argmax(degree))  # sums in another order differ in later places
         alone = size - len(np.unique(np.concatenate([src, dst])))
         row = [a["sample_id"].iloc[0], longest_path(size, src, dst), component_count(size, src, dst), alone / size, ids[p], pr[p], ids[d], degree[d], closeness(size, src, dst, d), between.max(), int((between > 0).sum())]
         row += [int((host == host[p]).sum()), int((host == host[d]).sum()), a["url"].iloc[p]]
@@ -207,10 +208,13 @@ def shapes(n: DataFrame, e: DataFrame) -> DataFrame:
     return left.groupBy("sample_id").cogroup(right.groupBy("sample_id")).applyInPandas(measure, f"sample_id {kind}, {SHAPE}")
 
 
-def features(n: DataFrame, e: DataFrame) -> DataFrame:
-    """sample_id and the 24 features, in the order of schemas.HMG_FEATURES, of samples with more than one node."""
+def features(n: DataFrame, e: DataFrame | None = None) -> DataFrame:
+    """sample_id and the 24 features, in the order of schemas.HMG_FEATURES, of samples with more than one node. Nodes and edges (by default those
+    of the nodes) are stored first, as each is read several times."""
     from chainloom.sources.schemas import HMG_FEATURES
 
+    n = materialize(n, "message-nodes")
+    e = materialize(edges(n) if e is None else e, "message-edges")
     full = node_features(n).where("node_cnt > 1").join(redirect_features(n, e), "sample_id").join(shapes(n, e), "sample_id")
     url = F.col("mpr_url")
     others = F.col("node_cnt") - 1

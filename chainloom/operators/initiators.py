@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chainloom.functions.suffix import with_suffix
 from chainloom.functions.urls import url_join, url_netloc, url_scheme, valid_url, without_fragment
 from chainloom.operators.requests import SENT
-from chainloom.operators.tree import intermediaries, nearest_initiator, search_node
+from chainloom.operators.tree import exact_match, intermediaries, nearest_initiator, search_node
 
 # Sources of hops that a script or click issues.
 ISSUED = ("anchorClick", "script", "scriptInitiated")
@@ -41,7 +41,7 @@ def chains(tree: DataFrame, requests: DataFrame, ends: DataFrame, iframes: DataF
 
 def log_entries_of(nodes: DataFrame, events: DataFrame) -> DataFrame:
     """Nodes with the first log event of their type, time and url (node columns, then initiator columns); nodes without one go."""
-    sent = events.where(F.col("method") == SENT).select("sample_id", F.col("seq").alias("event_seq"), "resource_type", "ts", F.concat("url", F.coalesce("url_fragment", F.lit(""))).alias("full_url"), "initiator_url", "call_urls")
+    sent = events.where(F.col("method") == SENT).select("sample_id", F.col("seq").alias("event_seq"), "resource_type", "ts", F.concat("url", F.coalesce("url_fragment", F.lit(""))).alias("full_url"), "initiator_url", "has_stack", "call_urls")
     hits = nodes.withColumn("full_url", F.concat("url", "url_fragment")).join(sent, ["sample_id", "resource_type", "ts", "full_url"])
     w = Window.partitionBy("sample_id", "node_seq").orderBy("event_seq")
     return hits.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place", "event_seq")
@@ -50,14 +50,22 @@ def log_entries_of(nodes: DataFrame, events: DataFrame) -> DataFrame:
 def hop_initiators(tree: DataFrame, events: DataFrame, ends: DataFrame) -> DataFrame:
     """One row for each issued hop of a chain: hop and initiator with url, type and time.
 
-    The initiator's url is the log's, else the first call's, else the parent's without fragment. ends: sample_id, end_url."""
+    The initiator's url is the log's; where the log has a stack instead, the first call's, else the parent's without fragment. Hops of which the
+    log has neither have no initiator. ends: sample_id, end_url."""
     steps = intermediaries(tree, chain_ends(tree, ends)).where("at > 0").select("sample_id", F.col("node_seq").alias("node_seq"))
     hops = tree.join(steps, ["sample_id", "node_seq"], "left_semi").where(F.col("parent_source").isin(*ISSUED))
     parent = tree.select("sample_id", F.col("node_seq").alias("parent_seq"), F.col("url").alias("parent_url"))
     known = log_entries_of(hops, events).join(parent, ["sample_id", "parent_seq"])
-    url = F.coalesce("initiator_url", F.try_element_at("call_urls", F.lit(1)), without_fragment(F.col("parent_url")))
+    url = F.coalesce("initiator_url", F.when(F.col("has_stack"), F.coalesce(F.try_element_at("call_urls", F.lit(1)), without_fragment(F.col("parent_url")))))
     asked = known.select("sample_id", F.col("node_seq").alias("base_seq"), F.col("ts").alias("base_ts"), F.col("full_url").alias("hop_url"), F.col("resource_type").alias("hop_type"), url.alias("initiator_url"))
-    return nearest_initiator(tree, asked).select("sample_id", "hop_url", "hop_type", F.col("base_ts").alias("hop_ts"), "init_url", "init_type", "init_ts")
+    return nearest_initiator(tree, asked.where(F.col("initiator_url").isNotNull())).select("sample_id", "hop_url", "hop_type", F.col("base_ts").alias("hop_ts"), "init_url", "init_type", "init_ts")
+
+
+def initiator_pairs(tree: DataFrame, issued: DataFrame) -> DataFrame:
+    """(sample_id, src, dst): node numbers of initiators and their hops, both looked up by url and time. issued: rows of ``hop_initiators``."""
+    node = lambda url, ts, name: exact_match(tree, issued.select("sample_id", F.col(url).alias("wanted_url"), F.col(ts).alias("wanted_ts")).distinct()).select("sample_id", F.col("wanted_url").alias(url), F.col("wanted_ts").alias(ts), F.col("node_seq").alias(name))
+    found = issued.join(node("init_url", "init_ts", "src"), ["sample_id", "init_url", "init_ts"]).join(node("hop_url", "hop_ts", "dst"), ["sample_id", "hop_url", "hop_ts"])
+    return found.select("sample_id", "src", "dst").distinct()
 
 
 def end_urls(entries: DataFrame) -> DataFrame:
@@ -65,33 +73,44 @@ def end_urls(entries: DataFrame) -> DataFrame:
     return entries.withColumn("end_url", F.when(F.col("iframe") == "has_iframe", F.element_at(F.split("urls", " "), -1)).otherwise(F.col("end_url")))
 
 
+def initiator_samples(rows: DataFrame) -> DataFrame:
+    """(init_url, sample_id, n, urls): the hops that an initiator issues in one sample, in the log's order. rows: sample_id, seq, hop_url, init_url."""
+    urls = F.transform(F.array_sort(F.collect_list(F.struct("seq", "hop_url"))), lambda x: x["hop_url"])
+    return rows.groupBy("init_url", "sample_id").agg(F.count("*").alias("n"), urls.alias("urls"))
+
+
+def initiator_names(rows: DataFrame) -> DataFrame:
+    """(init_url, e2ld): registrable names of an initiator's hops, once each."""
+    hosts = rows.select("init_url", url_netloc(F.col("hop_url")).alias("host")).distinct()
+    return with_suffix(hosts, "host").where(F.col("e2ld").isNotNull()).select("init_url", "e2ld").distinct()
+
+
 def initiator_summary(rows: DataFrame) -> DataFrame:
-    """For each initiator: hops, samples with their hop urls, registrable names of hops, and the type first seen.
+    """(init_url, freq, n_samples, n_e2lds, type) of each initiator: hops, samples, registrable names of hops, and the type first seen.
 
-    rows: sample_id, seq, hop_url, init_url, init_type. Counted by sample before the initiators meet, so that a common initiator is many small groups first."""
-    named = with_suffix(rows.withColumn("host", url_netloc(F.col("hop_url"))), "host")
-    by_sample = named.groupBy("init_url", "sample_id").agg(
-        F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "hop_url"))), lambda x: x["hop_url"]).alias("urls"), F.collect_set("e2ld").alias("names"), F.min(F.struct("seq", "init_type")).alias("first")
-    )
-    return by_sample.groupBy("init_url").agg(
-        F.sum("n").alias("freq"), F.map_from_entries(F.collect_list(F.struct("sample_id", "urls"))).alias("samples"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("e2lds"), F.min("first")["init_type"].alias("type")
-    )
+    rows: sample_id, seq, hop_url, init_url, init_type. A common initiator is a row of counts here; what it did in each sample is in
+    ``initiator_samples`` and ``initiator_names``, a row for each."""
+    by_sample = rows.groupBy("init_url", "sample_id").agg(F.count("*").alias("n"), F.min(F.struct("seq", "init_type")).alias("first"))
+    counted = by_sample.groupBy("init_url").agg(F.sum("n").alias("freq"), F.count("*").alias("n_samples"), F.min("first")["init_type"].alias("type"))
+    names = initiator_names(rows).groupBy("init_url").agg(F.count("*").alias("n_e2lds"))
+    return counted.join(names, "init_url", "left").select("init_url", "freq", "n_samples", F.coalesce("n_e2lds", F.lit(0)).alias("n_e2lds"), "type")
 
 
 def graph_degrees(edges: DataFrame) -> DataFrame:
-    """(node, in_degree, out_degree, degree) of distinct edges (src, dst)."""
-    once = edges.select("src", "dst").distinct()
-    ends = once.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
-    return ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count("*").alias("degree"))
-
+    """(node, in_degree, out_degree, degree) of distinct edges (src, dst); of each sample's graph where edges have a sample_id."""
+    key = ["sample_id"] if "sample_id" in edges.columns else []
+    once = edges.select(*key, "src", "dst").distinct()
+    ends = once.select(*key, F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select(*key, "e.*")
+    return ends.groupBy(*key, "node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count("*").alias("degree"))
 
-def whole_tree_edges(tree_edges: DataFrame, issued: DataFrame) -> DataFrame:
-    """Edges of all trees and from initiators to hops, once each."""
-    return tree_edges.select("src", "dst").unionByName(issued.select(F.col("init_url").alias("src"), F.col("hop_url").alias("dst"))).distinct()
 
+def whole_tree_edges(tree: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sample_id, src, dst): edges between the nodes of each tree, from parents to children and from initiators to hops, once each."""
+    children = tree.where(F.col("parent_seq").isNotNull()).select("sample_id", F.col("parent_seq").alias("src"), F.col("node_seq").alias("dst"))
+    return children.unionByName(pairs.select("sample_id", "src", "dst")).distinct()
 
-def chain_edges(chain_rows: DataFrame, issued: DataFrame) -> DataFrame:
-    """Edges along chains and from initiators to hops, once each."""
-    pairs = chain_rows.select(F.explode(F.arrays_zip(F.slice("urls", 1, F.greatest(F.size("urls") - 1, F.lit(0))).alias("src"), F.slice("urls", 2, F.greatest(F.size("urls") - 1, F.lit(0))).alias("dst"))).alias("e")).select("e.*")
-    return whole_tree_edges(pairs, issued)
 
+def chain_edges(tree: DataFrame, ends: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(sample_id, src, dst): edges between the nodes of each chain, and from initiators to hops, once each. ends: sample_id, end_url."""
+    steps = intermediaries(tree, chain_ends(tree, ends)).where("at > 0").select("sample_id", "node_seq")
+    return whole_tree_edges(tree.join(steps, ["sample_id", "node_seq"], "left_semi"), pairs)

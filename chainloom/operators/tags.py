@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql import types as T
 
 from chainloom.functions.geometry import area_rect, covers_view
 from chainloom.functions.urls import strip_newlines
@@ -22,6 +25,8 @@ class TagReader(HTMLParser):
     def __init__(self, page: str) -> None:
         super().__init__(convert_charrefs=True)
         self.page, self.found, self.open = page, [], []
+        self.held: Counter = Counter()
+        self.started = 0
         self.line_at = [0]
         for line in page.split("\n"):
             self.line_at.append(self.line_at[-1] + len(line) + 1)
@@ -51,48 +56,60 @@ class TagReader(HTMLParser):
             kinds.append("iframe")
         if name == "img" and "usemap" in a:
             kinds.append("img")
+        self.started += 1
         rows = [{"kind": k, "name": name, "attributes": a, "start": start, "end": end, "map": self.maps[-1] if self.maps else None, "inner": 0} for k in kinds]
         self.found += rows
-        for _, held in self.open:
-            for r in held:
-                r["inner"] += 1
         if name not in VOID:
-            self.open.append((name, rows))
+            self.open.append((name, rows, self.started))
+            self.held[name] += 1
+
+    def shut(self, k: int) -> None:
+        """The elements from the k-th open one on end; what began since then is inside of them."""
+        for name, rows, started in self.open[k:]:
+            self.held[name] -= 1
+            for r in rows:
+                r["inner"] = self.started - started
+        del self.open[k:]
+
+    def close(self) -> None:
+        super().close()
+        self.shut(0)
 
     def handle_endtag(self, name) -> None:
         if name == "map" and self.maps:
             self.maps.pop()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == name:
-                end = self.page.find(">", self.place()) + 1 or len(self.page)
-                for r in self.open[k][1]:
-                    r["end"] = end
-                del self.open[k:]
-                break
-
-
-@udtf(returnType=TAG_COLUMNS)
-class ExtractTags:
-    """Table function: one row for each tag of a page."""
-
-    def eval(self, page: str):
-        if page is None:
+        if not self.held[name]:
             return
-        reader = TagReader(page)
-        reader.feed(page)
-        reader.close()
-        for at, r in enumerate(reader.found):
-            yield r["kind"], at, r["name"], r["attributes"], page[r["start"] : r["end"]], r["map"], r["inner"]
+        k = next(k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == name)
+        end = self.page.find(">", self.place()) + 1 or len(self.page)
+        for r in self.open[k][1]:
+            r["end"] = end
+        self.shut(k)
 
 
 def page_tags(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Rows of ``pages`` with the columns of each of their tags."""
-    spark = pages.sparkSession
-    spark.udtf.register("chainloom_extract_tags", ExtractTags)
-    view = "chainloom_pages_for_tags"
-    pages.createOrReplaceTempView(view)
-    keep = ", ".join(f"p.`{c}`" for c in pages.columns if c != html)
-    return spark.sql(f"SELECT {keep}, t.* FROM {view} p, LATERAL chainloom_extract_tags(p.`{html}`) t").withColumn("outer_html", strip_newlines(F.col("outer_html")))
+    """Rows of ``pages`` with the columns of each of their tags: one pass over batches of pages; other columns are taken along as they are."""
+    kept = [c for c in pages.columns if c != html]
+    schema = T.StructType([*(pages.schema[c] for c in kept), *T._parse_datatype_string(TAG_COLUMNS).fields])
+    own = pa.schema([("tag_type", pa.string()), ("at", pa.int32()), ("name", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("outer_html", pa.string()), ("parent_map", pa.string()), ("inner", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            source, rows = [], []
+            for k, page in enumerate(b.column(len(kept)).to_pylist()):
+                if page is None:
+                    continue
+                reader = TagReader(page)
+                reader.feed(page)
+                reader.close()
+                for at, r in enumerate(reader.found):
+                    source.append(k)
+                    rows.append((r["kind"], at, r["name"], list(r["attributes"].items()), page[r["start"] : r["end"]], r["map"], r["inner"]))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(own)
+            taken = [b.column(i).take(pa.array(source, pa.int64())) for i in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*taken, *(pa.array(list(c), t) for c, t in zip(columns, own.types, strict=True))], names=[f.name for f in schema])
+
+    return pages.select(*kept, html).mapInArrow(run, schema).withColumn("outer_html", strip_newlines(F.col("outer_html")))
 
 
 def of_type(tags: DataFrame, tag_type: str) -> DataFrame:

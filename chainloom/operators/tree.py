@@ -150,6 +150,21 @@ def intermediaries(tree: DataFrame, ends: DataFrame) -> DataFrame:
     return part.select("sample_id", "end_seq", "start_seq", F.posexplode(nodes).alias("at", "node_seq"))
 
 
+def ends_by_url(tree: DataFrame, asked: DataFrame, strict: bool = False) -> DataFrame:
+    """(sample_id, start_seq, end_seq) of urls (sample_id, end_url and, if there is one, start_url; null: the root), compared case-blind as
+    texts with fragments. A node that is the start is no end. strict: the walk that looks for both stops at a root which is neither."""
+    if "start_url" not in asked.columns:
+        asked = asked.withColumn("start_url", F.lit(None).cast("string"))
+    nodes = tree.select("sample_id", "node_seq", "path_ord", F.lower(F.concat("url", "url_fragment")).alias("text"), F.col("parent_seq").isNull().alias("is_root"))
+    first = first_in_order(nodes, "sample_id", "text")
+    named = lambda kind: first.select("sample_id", F.col("text").alias(f"{kind}_text"), F.col("node_seq").cast("long").alias(f"{kind}_seq"), F.col("is_root").alias(f"{kind}_is_root"))
+    found = asked.withColumn("end_text", F.lower("end_url")).withColumn("start_text", F.lower("start_url"))
+    found = found.join(named("end"), ["sample_id", "end_text"]).join(named("start"), ["sample_id", "start_text"], "left").where(F.col("start_url").isNull() | F.col("start_seq").isNotNull())
+    if strict:
+        found = found.where(F.col("start_url").isNull() | F.col("start_is_root") | F.col("end_is_root"))
+    return found.select("sample_id", "start_seq", "end_seq")
+
+
 def nearest_initiator(tree: DataFrame, asked: DataFrame) -> DataFrame:
     """For each asked (sample_id, base_seq, base_ts, initiator_url) the node that issued it: same url (without fragment), not later,
     the latest of these; among equals the one that a walk which takes the last child first meets first.

@@ -12,8 +12,9 @@ from chainloom.functions.geometry import covers_view, intersection, rect
 from chainloom.functions.suffix import with_suffix
 from chainloom.operators import chaingraph, hmg, initiators, ml, requests, tags, tree
 from chainloom.sources import adapters, logs
-from chainloom.sources.adapters import CHAIN_STEPS_SQL, EVENT_LOG_SQL, HMG_SQL, REQUESTS_SQL, TREE_SQL, table
+from chainloom.sources.adapters import CHAIN_STEPS_SQL, EVENT_LOG_SQL, HMG_SQL, REQUESTS_SQL, SHAPE_SQL, TREE_SQL, table
 from chainloom.sources.tables import last_of_key
+from chainloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,10 +114,28 @@ def tld_frequency_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaingraph.final_share(adapters.chain_steps(spark, sf_dir), "tld").select("rule", "label", F.round("share", 6).alias("share"))
 
 
-@query()
+@query(CHAIN_STEPS_SQL + """
+, paired AS (SELECT *, lag(url) OVER w AS previous, lag(domain) OVER w AS previous_domain FROM steps WINDOW w AS (PARTITION BY sample_id ORDER BY pos)
+), n AS (SELECT rule, label, count(DISTINCT sample_id) AS n_chains, max(n) AS max_len, min(n) AS min_len FROM steps GROUP BY ALL
+), firsts AS (SELECT DISTINCT rule, label, url, params FROM steps WHERE pos = 0
+), lasts AS (SELECT DISTINCT rule, label, url, params, tld FROM steps WHERE pos = n - 1
+), r AS (SELECT rule, label, count(*) AS ru, count(DISTINCT CASE WHEN params <> '' THEN params END) AS rp, sum(CASE WHEN params <> '' THEN 1 ELSE 0 END) AS rw FROM firsts GROUP BY ALL
+), f AS (SELECT rule, label, count(*) AS fu, count(DISTINCT CASE WHEN params <> '' THEN params END) AS fp, sum(CASE WHEN params <> '' THEN 1 ELSE 0 END) AS fw, max(CASE WHEN tld IS NULL THEN 1 ELSE 0 END) AS no_tld FROM lasts GROUP BY ALL
+), pages_of AS (SELECT DISTINCT rule, label, url, page FROM steps WHERE pos = n - 1
+), tf AS (SELECT tld, count(*) AS c FROM (SELECT DISTINCT rule, label, url, tld FROM lasts) GROUP BY tld), pf AS (SELECT page, count(*) AS c FROM pages_of GROUP BY page
+), ts AS (SELECT rule, label, sum(c) / (SELECT sum(c) FROM tf) AS tld_share FROM (SELECT DISTINCT rule, label, tld FROM lasts) JOIN tf USING (tld) GROUP BY ALL
+), ps AS (SELECT rule, label, sum(c) / (SELECT sum(c) FROM pf) AS page_share FROM (SELECT DISTINCT rule, label, page FROM pages_of) JOIN pf USING (page) GROUP BY ALL
+), flags AS (SELECT rule, label, max(CASE WHEN domain = previous_domain THEN 1 ELSE 0 END) AS intra_domain, max(CASE WHEN url = previous THEN 1 ELSE 0 END) AS self_loop FROM paired GROUP BY ALL
+), hub AS (SELECT rule, label, max(c) AS most FROM (SELECT rule, label, url, count(DISTINCT sample_id) AS c FROM steps WHERE url <> rule GROUP BY ALL) GROUP BY ALL)
+SELECT rule, label, n_chains, round(ru / n_chains, 9) AS referer_ratio, round(rp / n_chains, 9) AS referer_param_ratio, round(rw / n_chains, 9) AS referer_with_param_ratio, round(fu / n_chains, 9) AS final_ratio,
+       round(fp / n_chains, 9) AS final_param_ratio, round(fw / n_chains, 9) AS final_with_param_ratio, round(tld_share, 9) AS tld_share, round(page_share, 9) AS page_share, CAST(no_tld AS BIGINT) AS final_is_ip, CAST(max_len AS BIGINT) AS max_len, CAST(min_len AS BIGINT) AS min_len,
+       CAST(intra_domain AS BIGINT) AS intra_domain, CAST(CASE WHEN n_chains >= 5 AND coalesce(most, 0) / n_chains >= 0.3 THEN 1 ELSE 0 END AS BIGINT) AS hub_30,
+       CAST(CASE WHEN n_chains >= 5 AND coalesce(most, 0) / n_chains >= 0.8 THEN 1 ELSE 0 END AS BIGINT) AS hub_80, CAST(self_loop AS BIGINT) AS self_loop
+FROM n JOIN r USING (rule, label) JOIN f USING (rule, label) JOIN ts USING (rule, label) JOIN ps USING (rule, label) JOIN flags USING (rule, label) LEFT JOIN hub USING (rule, label)""")
 def chain_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15 features of each chain graph together."""
-    return chaingraph.features(adapters.chain_steps(spark, sf_dir))
+    f = chaingraph.features(adapters.chain_steps(spark, sf_dir))
+    return f.select("rule", "label", "n_chains", *[F.round(c, 9).alias(c) if c.endswith(("_ratio", "_share")) else F.col(c).cast("long").alias(c) for c in chaingraph.FEATURES])
 
 
 @query(CHAIN_STEPS_SQL + """
@@ -137,8 +156,7 @@ def initiator_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("init_url"), F.col("l_orderkey").alias("sample_id"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("seq"),
         F.concat(F.lit("http://w.n"), F.col("s_nationkey").cast("string"), F.lit(".com/"), F.col("l_suppkey").cast("string")).alias("hop_url"), F.col("l_linenumber").cast("long").alias("init_type"),
     )
-    out = initiators.initiator_summary(rows)
-    return out.select("init_url", "freq", F.size("samples").cast("long").alias("n_samples"), F.size("e2lds").cast("long").alias("n_e2lds"), "type")
+    return initiators.initiator_summary(rows)
 
 
 @query("SELECT o_custkey, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS o_orderkey FROM (SELECT * FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT * FROM orders WHERE o_orderstatus <> 'F') GROUP BY o_custkey")
@@ -175,30 +193,28 @@ def url_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.file_name(U.url_path(url)).alias("filename"), U.without_fragment(url).alias("plain"), U.fragment_with_mark(url).alias("fragment"))
 
 
-@query("SELECT a.page_id AS a, b.page_id AS b FROM pages a JOIN pages b ON lower(a.url) = lower(upper(b.url)) WHERE a.page_id % 3 = 0")
-def url_key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages found again by an upper-cased and percent-encoded spelling of their url."""
-    p = table(spark, sf_dir, "pages")
-    left = p.where("page_id % 3 = 0").select(F.col("page_id").alias("a"), U.url_key(F.col("url")).alias("key"))
-    right = p.select(F.col("page_id").alias("b"), U.url_key(U.percent_encode(F.upper("url"), ":/?&=#")).alias("key"))
-    return left.join(right, "key").select("a", "b")
-
-
 @query("SELECT a.page_id AS a, b.page_id AS b FROM pages a JOIN pages b ON lower(a.url) = lower(upper(b.url))")
-def url_key_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As url_key_match, for every page: an equi-join of all pages with all pages."""
+def url_key_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages found again by an upper-cased and percent-encoded spelling of their url: an equi-join of all pages with all pages."""
     p = table(spark, sf_dir, "pages")
     left = p.select(F.col("page_id").alias("a"), U.url_key(F.col("url")).alias("key"))
     right = p.select(F.col("page_id").alias("b"), U.url_key(U.percent_encode(F.upper("url"), ":/?&=#")).alias("key"))
     return left.join(right, "key").select("a", "b")
 
 
-@query("SELECT page_id, CASE WHEN url LIKE 'http%' THEN url END AS url FROM pages WHERE regexp_matches(url, '^https?://[a-z0-9.-]+/[A-Za-z0-9_./-]*([?][A-Za-z0-9_=&.-]*)?(#[A-Za-z0-9_]*)?$')")
+@query("SELECT page_id, url FROM pages")
 def valid_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain urls are their own canonical spelling, also when they come with a default port and a doubled escape."""
-    plain = F.col("url").rlike(r"^https?://[a-z0-9.\-]+/[A-Za-z0-9_./\-]*(\?[A-Za-z0-9_=&.\-]*)?(#[A-Za-z0-9_]*)?$")
+    """The pages' urls, which are their own canonical spelling, also when they come with a default port and a doubled escape."""
     ported = F.replace(F.regexp_replace("url", "^(http://[^/]+)/", "$1:80/"), F.lit("&"), F.lit("&amp;"))
-    return table(spark, sf_dir, "pages").where(plain).select("page_id", U.valid_url(ported).alias("url"))
+    return table(spark, sf_dir, "pages").select("page_id", U.valid_url(ported).alias("url"))
+
+
+@query("""
+SELECT page_id, regexp_extract(url, '^(https?://[^/]*)', 1) || replace(replace(url_encode(href), '%2F', '/'), '%2C', ',') AS url
+FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages)""")
+def valid_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical spelling of every link's target; many have letters that must be encoded."""
+    return _links(spark, sf_dir).select("page_id", U.valid_url(U.url_join(F.col("url"), F.col("href"))).alias("url"))
 
 
 @query(rf"""
@@ -220,19 +236,17 @@ def anchor_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.of_type(tags.page_tags(table(spark, sf_dir, "pages").select("page_id", "html")), "a").select("page_id", F.col("attributes")["href"].alias("href"))
 
 
-@query("""
-SELECT page_id, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/]*)', 1) || href ELSE NULL END AS target
-FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages) WHERE regexp_matches(href, '^/[A-Za-z0-9]+$')""")
-def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = tags.of_type(tags.page_tags(table(spark, sf_dir, "pages").select("page_id", "url", "html")), "a").select("page_id", "url", F.col("attributes")["href"].alias("href"))
-    return links.where(F.col("href").rlike("^/[A-Za-z0-9]+$")).select("page_id", U.url_join(F.col("url"), F.col("href")).alias("target"))
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tags.of_type(tags.page_tags(table(spark, sf_dir, "pages").select("page_id", "url", "html")), "a")
+    return found.select("page_id", "url", F.col("attributes")["href"].alias("href")).where(F.col("href").isNotNull())
 
 
-@query()
-def resolved_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As resolved_links, for every link of every page; SQL has no url resolution."""
-    links = tags.of_type(tags.page_tags(table(spark, sf_dir, "pages").select("page_id", "url", "html")), "a").select("page_id", "url", F.col("attributes")["href"].alias("href"))
-    return links.where(F.col("href").isNotNull()).select("page_id", "href", U.url_join(F.col("url"), F.col("href")).alias("target"))
+@query("""
+SELECT page_id, href, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/]*)', 1) || href END AS target
+FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href FROM pages)""")
+def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of every page; those of the pages begin with a slash, other forms are tested by url_join's cases."""
+    return _links(spark, sf_dir).select("page_id", "href", U.url_join(F.col("url"), F.col("href")).alias("target"))
 
 
 @query("""
@@ -251,12 +265,14 @@ def rect_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EVENT_LOG_SQL + "SELECT sample_id, seq, kind, url FROM log WHERE seq >= first_view")
 def log_start_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.event_log(spark, sf_dir).where("seq >= first_view").select("sample_id", "seq", "kind", "url")
+    return requests.from_start(adapters.browser_events(adapters.event_log(spark, sf_dir))).select("sample_id", "seq", "kind", "url")
 
 
 @query(EVENT_LOG_SQL + "SELECT kind, count(*) AS n FROM log WHERE seq >= first_view AND kind IN ('view', 'signup', 'purchase') GROUP BY kind")
 def log_method_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.event_log(spark, sf_dir).where((F.col("seq") >= F.col("first_view")) & F.col("kind").isin("view", "signup", "purchase")).groupBy("kind").agg(F.count("*").alias("n"))
+    """Requests, jumps to anchors and downloads, by the methods' numbers."""
+    started = requests.from_start(adapters.browser_events(adapters.event_log(spark, sf_dir)))
+    return requests.of_methods(started, [requests.METHODS.index(m) for m in (requests.SENT, requests.ANCHOR, requests.DOWNLOAD)]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(EVENT_LOG_SQL + """
@@ -302,7 +318,12 @@ def navigation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.close_trees(adapters.event_tree(adapters.event_requests(adapters.event_log(spark, sf_dir))))
+    """Trees of the event log's requests, with whole urls and the events' kinds."""
+    t = tree.build_trees(adapters.document_requests(adapters.event_requests(adapters.event_log(spark, sf_dir))))
+    return t.select(
+        F.col("sample_id").cast("long").alias("sample_id"), F.col("node_seq").cast("long").alias("node_seq"), F.col("parent_seq").cast("long").alias("parent_seq"), F.concat("url", "url_fragment").alias("url"),
+        F.lit("").alias("url_fragment"), F.when(F.col("resource_type") == "Document", "view").otherwise("signup").alias("kind"), F.col("ts").alias("ts_ms"), "depth", F.col("path").cast("array<bigint>").alias("path"), "path_ord",
+    )
 
 
 @query(TREE_SQL + "SELECT sample_id, node_seq, parent_seq, CAST(depth AS BIGINT) AS depth, array_to_string(path, '/') AS path FROM tree")
@@ -354,20 +375,11 @@ def initiator_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.nearest_initiator(plain, asked).select("sample_id", "base_seq", "init_seq")
 
 
-@query(TREE_SQL + """
-SELECT sample_id, node_seq FROM tree WHERE url LIKE '%/p1%' QUALIFY row_number() OVER (PARTITION BY sample_id, url ORDER BY path_ord) = 1""")
-def tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First depth-first node of each wanted url."""
-    t = _tree(spark, sf_dir).withColumn("url_fragment", F.lit(""))
-    wanted = t.where(F.col("url").contains("/p1")).select("sample_id", F.upper("url").alias("wanted_url")).distinct()
-    return tree.search_node(t, wanted).select("sample_id", "node_seq")
-
-
 @query(TREE_SQL + """
 SELECT sample_id, node_seq FROM tree QUALIFY row_number() OVER (PARTITION BY sample_id, url ORDER BY path_ord) = 1""")
-def tree_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First depth-first node of every distinct url of a tree."""
-    t = _tree(spark, sf_dir).withColumn("url_fragment", F.lit(""))
+def tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First depth-first node of every distinct url of a tree, asked for in capitals."""
+    t = _tree(spark, sf_dir)
     return tree.search_node(t, t.select("sample_id", F.upper("url").alias("wanted_url")).distinct()).select("sample_id", "node_seq")
 
 
@@ -435,13 +447,13 @@ def longest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(hmg.shapes(n, hmg.edges(n)), "sample_id", "longest_path_len")
 
 
-@query()
+@query(SHAPE_SQL + "SELECT sample_id, mpr_node_sn, round(mpr_node_pr, 6) AS mpr_node_pr FROM shape")
 def pagerank_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = hmg.nodes(adapters.event_messages(spark, sf_dir))
     return hmg.shapes(n, hmg.edges(n)).select("sample_id", "mpr_node_sn", F.round("mpr_node_pr", 6).alias("mpr_node_pr"))
 
 
-@query()
+@query(SHAPE_SQL + "SELECT sample_id, mdc_node_sn, round(mdc_closeness, 6) AS mdc_closeness, round(max_betweenness, 6) AS max_betweenness, nonzero_betweenness_cnt FROM shape")
 def betweenness_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = hmg.nodes(adapters.event_messages(spark, sf_dir))
     return hmg.shapes(n, hmg.edges(n)).select("sample_id", "mdc_node_sn", F.round("mdc_closeness", 6).alias("mdc_closeness"), F.round("max_betweenness", 6).alias("max_betweenness"), "nonzero_betweenness_cnt")
@@ -457,11 +469,29 @@ def degree_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmg.shapes(n, hmg.edges(n)).select("sample_id", "mdc_node_sn", F.round("mdc_node_dc", 6).alias("mdc_node_dc"))
 
 
-@query()
+@query(SHAPE_SQL + """
+, moved AS (SELECT sample_id, src, dst FROM hmg_edges WHERE edge_type = 'location'), steps AS (
+  SELECT sample_id, src, dst AS at, 2 AS n FROM moved UNION ALL SELECT w.sample_id, w.src, m.dst, w.n + 1 FROM steps w JOIN moved m ON m.sample_id = w.sample_id AND m.src = w.at
+), redirects AS (
+  SELECT m.sample_id, count(*) AS redirect_cnt, sum(CASE WHEN a.host <> b.host THEN 1 ELSE 0 END) AS cross_domain_cnt
+  FROM moved m JOIN hmg_nodes a ON a.sample_id = m.sample_id AND a.sn = m.src JOIN hmg_nodes b ON b.sample_id = m.sample_id AND b.sn = m.dst GROUP BY m.sample_id
+), longest AS (SELECT sample_id, max(n) AS n FROM steps GROUP BY 1
+), told AS (
+  SELECT sample_id, avg(CASE WHEN status // 10 = 40 THEN 1.0 ELSE 0.0 END) AS s40, avg(CASE WHEN coalesce(referer, '') <> '' THEN 1.0 ELSE 0.0 END) AS ref, avg(CASE WHEN method = 'POST' THEN 1.0 ELSE 0.0 END) AS post FROM hmg_nodes GROUP BY 1
+), same AS (
+  SELECT s.sample_id, p.url, (SELECT count(*) FROM hmg_nodes x WHERE x.sample_id = s.sample_id AND x.host = p.host) - 1 AS of_pr, (SELECT count(*) FROM hmg_nodes x WHERE x.sample_id = s.sample_id AND x.host = d.host) - 1 AS of_dc
+  FROM shape s JOIN hmg_nodes p ON p.sample_id = s.sample_id AND p.sn = s.mpr_node_sn JOIN hmg_nodes d ON d.sample_id = s.sample_id AND d.sn = s.mdc_node_sn
+), f AS (
+  SELECT sample_id, size AS node_cnt, s40 AS status_40x_ratio, ref AS referer_ratio, 0 AS ip_ratio, post AS post_ratio, coalesce(redirect_cnt, 0) AS redirect_cnt, coalesce(cross_domain_cnt, 0) AS cross_domain_cnt, coalesce(longest.n, 0) AS max_path_len,
+         longest_path_len, component_cnt, isolate_ratio, mpr_node_sn, of_pr / (size - 1) AS same_pr_domain_ratio, length(url) AS mpr_url_len, length(url) - length(replace(url, '/', '')) - 2 AS mpr_url_path_depth, 0 AS mpr_url_query_len, 1 AS mpr_url_query_cnt,
+         mpr_node_pr, mdc_node_dc, mdc_node_sn, of_dc / (size - 1) AS same_dc_domain_ratio, mdc_closeness, max_betweenness, nonzero_betweenness_cnt
+  FROM shape JOIN told USING (sample_id) JOIN same USING (sample_id) LEFT JOIN redirects USING (sample_id) LEFT JOIN longest USING (sample_id) WHERE size > 1
+)
+SELECT sample_id, round(CAST(COLUMNS(* EXCLUDE sample_id) AS DOUBLE), 6) FROM f""")
 def hmg_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 24 message-graph features of each sample."""
-    n = hmg.nodes(adapters.event_messages(spark, sf_dir))
-    return hmg.features(n, hmg.edges(n))
+    f = hmg.features(hmg.nodes(adapters.event_messages(spark, sf_dir)))
+    return f.select("sample_id", *[F.round(c, 6).alias(c) for c in f.columns[1:]])
 
 
 @query()
@@ -487,8 +517,7 @@ def roc_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return ingest.tumbling(table(spark, sf_dir, "events"), "ts", "1 hour", "1 day", "event_type").select(F.col("window.start").alias("start"), "event_type", "n")
 
 
 @query("""
@@ -496,8 +525,7 @@ WITH m AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 hour
 s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM m)
 SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, session""")
 def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+    return ingest.sessions(table(spark, sf_dir, "events"), "ts", "6 hours", "1 day", "user_id").select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
 # ---- logs as a crawler leaves them, made of events
@@ -531,28 +559,110 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("kind") == "error", text(F.struct(F.concat(F.lit("r"), (F.col("seq") - 1).cast("string")).alias("requestId"))))
         .when(F.col("kind") == "purchase", text(F.struct(url.alias("url")))).otherwise(text(F.struct(frame, F.concat(url, F.lit("#a")).alias("url"))))
     )
-    methods = {"view": requests.SENT, "click": requests.NAVIGATION, "error": requests.FAILED, "purchase": requests.DOWNLOAD, "signup": requests.ANCHOR}
-    method = F.coalesce(*[F.when(F.col("kind") == k, F.lit(m)) for k, m in methods.items()])
+    method = F.coalesce(*[F.when(F.col("kind") == k, F.lit(m)) for k, m in adapters.MESSAGES.items()])
     domain = F.substring(F.first(F.when(F.col("kind") == "view", F.col("url")), ignorenulls=True).over(Window.partitionBy("sample_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), 8, 1000)
     line = F.concat(F.lit("{'level': 'INFO', 'message': '{\"message\": {\"method\": \""), method, F.lit("\", \"params\": "), params, F.lit("}}', 'timestamp': "), F.col("ts_ms").cast("string"), F.lit("}"))
     return log.select(F.col("sample_id").cast("string").alias("folder"), domain.alias("domain"), "seq", line.alias("line"))
 
 
-@query()
+#: What the printed logs say: a view that the next event fails is gone, and with the first view all of its sample; everything happens in one
+#: frame, so a request's parent is the one before it; the last request of a url before a download is that download. No navigation is
+#: within 20 ms of a request of its url in these tables.
+CRAWL_SQL = (
+    EVENT_LOG_SQL
+    + """
+, followed AS (
+  SELECT *, lead(kind) OVER (PARTITION BY sample_id ORDER BY seq) AS next_kind FROM log WHERE seq >= first_view
+), kept AS (
+  SELECT *, min(seq) OVER (PARTITION BY sample_id) AS least FROM followed WHERE NOT (kind = 'view' AND coalesce(next_kind, '') = 'error')
+), marked AS (
+  SELECT *, CASE WHEN kind = 'signup' THEN url || '/#a' ELSE url || '/' END AS request_url FROM kept WHERE kind IN ('view', 'signup', 'purchase')
+    AND sample_id IN (SELECT sample_id FROM kept WHERE seq = first_view)
+), asked AS (
+  SELECT *, lead(kind) OVER (PARTITION BY sample_id, request_url ORDER BY seq) AS then_kind FROM marked
+), crawled AS (
+  SELECT sample_id, seq, kind, request_url, CASE WHEN coalesce(then_kind, '') = 'purchase' THEN 'Download' ELSE 'Document' END AS resource_type, ts_ms,
+         coalesce(lag(request_url) OVER w, '') AS parent_url, CASE WHEN lag(request_url) OVER w IS NULL THEN 'root' WHEN kind = 'view' THEN 'script' ELSE 'navigatedWithinDocument' END AS parent_source,
+         row_number() OVER w - 1 AS node
+  FROM asked WHERE kind IN ('view', 'signup') WINDOW w AS (PARTITION BY sample_id ORDER BY seq)
+), grown AS (
+  SELECT * FROM crawled WHERE sample_id IN (SELECT sample_id FROM crawled WHERE node = 0 AND resource_type = 'Document')
+), ends AS (
+  SELECT sample_id, arg_max(request_url, seq) AS end_url FROM crawled WHERE resource_type = 'Document' GROUP BY sample_id
+), ended AS (
+  SELECT g.sample_id, min(g.node) AS end_node FROM grown g JOIN ends e ON e.sample_id = g.sample_id AND e.end_url = g.request_url GROUP BY g.sample_id
+), steps AS (
+  SELECT g.* FROM grown g JOIN ended e ON e.sample_id = g.sample_id AND g.node <= e.end_node
+)
+"""
+)
+
+
+@query(CRAWL_SQL + "SELECT CAST(sample_id AS VARCHAR) AS sample_id, seq, request_url, resource_type, parent_url, parent_source, ts_ms AS ts, 'f' AS frame_id FROM crawled")
 def crawl_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with parents of printed logs."""
     return _crawl(spark, sf_dir)[1]
 
 
-@query()
+@query(CRAWL_SQL + """
+SELECT CAST(s.sample_id AS VARCHAR) AS sample_id, urls, methods, hops, false AS has_iframe, d.url IS NOT NULL AS has_download, coalesce(d.url, '') AS download_url
+FROM (SELECT sample_id, string_agg(request_url, ' ' ORDER BY seq) AS urls, string_agg(parent_source, ';' ORDER BY seq) AS methods, CAST(count(*) - 1 AS INTEGER) AS hops FROM steps GROUP BY sample_id) s
+LEFT JOIN (SELECT sample_id, arg_max(request_url, seq) AS url FROM crawled WHERE resource_type = 'Download' GROUP BY sample_id) d USING (sample_id)""")
 def crawl_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains from the start to the last document of printed logs."""
     _, asked, trees, ends = _crawl(spark, sf_dir)
     return initiators.chains(trees, asked, ends).select("sample_id", F.array_join("urls", " ").alias("urls"), F.array_join("methods", ";").alias("methods"), "hops", "has_iframe", "has_download", "download_url")
 
 
-@query()
+INITIATORS_SQL = (
+    CRAWL_SQL
+    + """
+, calls AS (
+  SELECT sample_id, seq, last_value(CASE WHEN kind = 'view' THEN url || '/' END IGNORE NULLS) OVER (PARTITION BY sample_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS caller FROM log
+), hops AS (
+  SELECT s.*, c.caller FROM steps s JOIN calls c ON c.sample_id = s.sample_id AND c.seq = s.seq WHERE s.node > 0 AND s.parent_source = 'script' AND s.resource_type = 'Document'
+), hits AS (
+  SELECT h.sample_id, h.node AS base, h.request_url AS hop_url, h.resource_type AS hop_type, h.ts_ms AS hop_ts, g.node, CASE WHEN g.node = 0 THEN g.request_url ELSE split_part(g.request_url, '#', 1) END AS init_url, g.resource_type AS init_type, g.ts_ms AS init_ts
+  FROM hops h JOIN grown g ON g.sample_id = h.sample_id AND g.ts_ms <= h.ts_ms AND split_part(g.request_url, '#', 1) = h.caller
+), met AS (SELECT *, row_number() OVER (PARTITION BY sample_id, base ORDER BY node) AS place FROM hits
+), issued AS (
+  SELECT sample_id, hop_url, hop_type, hop_ts, init_url, init_type, init_ts FROM met
+  QUALIFY row_number() OVER (PARTITION BY sample_id, base ORDER BY CASE WHEN place = 1 AND node = base THEN 0 ELSE 1 END, CASE WHEN node = base THEN 1 ELSE 0 END, init_ts DESC, node) = 1
+)
+"""
+)
+
+
+@query(INITIATORS_SQL + "SELECT CAST(sample_id AS VARCHAR) AS sample_id, hop_url, hop_type, hop_ts, init_url, init_type, init_ts FROM issued")
 def crawl_initiators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who issued each hop of these chains."""
     parsed, _, trees, ends = _crawl(spark, sf_dir)
     return initiators.hop_initiators(trees, parsed, ends)
+
+
+def _graph_sql(nodes: str) -> str:
+    return (
+        INITIATORS_SQL
+        + f"""
+, pairs AS (
+  SELECT DISTINCT i.sample_id, a.node AS src, b.node AS dst FROM issued i JOIN grown a ON a.sample_id = i.sample_id AND a.request_url = i.init_url AND a.ts_ms = i.init_ts JOIN grown b ON b.sample_id = i.sample_id AND b.request_url = i.hop_url AND b.ts_ms = i.hop_ts
+), e AS (SELECT sample_id, node - 1 AS src, node AS dst FROM {nodes} WHERE node > 0 UNION SELECT * FROM pairs)
+SELECT CAST(sample_id AS VARCHAR) AS sample_id, node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, count(*) AS degree
+FROM (SELECT sample_id, src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT sample_id, dst, 1, 0 FROM e) GROUP BY ALL"""
+    )
+
+
+@query(_graph_sql("grown"))
+def crawl_tree_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees in the graphs of whole trees, with edges from initiators to hops."""
+    parsed, _, trees, ends = _crawl(spark, sf_dir)
+    pairs = initiators.initiator_pairs(trees, initiators.hop_initiators(trees, parsed, ends))
+    return initiators.graph_degrees(initiators.whole_tree_edges(trees, pairs)).withColumn("node", F.col("node").cast("long"))
+
+
+@query(_graph_sql("steps"))
+def crawl_chain_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees in the graphs of chains, with edges from initiators to hops."""
+    parsed, _, trees, ends = _crawl(spark, sf_dir)
+    pairs = initiators.initiator_pairs(trees, initiators.hop_initiators(trees, parsed, ends))
+    return initiators.graph_degrees(initiators.chain_edges(trees, ends, pairs)).withColumn("node", F.col("node").cast("long"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import chainloom.plans.files  # noqa: F401  registers its queries
 from chainloom.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

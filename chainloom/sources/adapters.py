@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chainloom.operators.requests import ANCHOR, DOWNLOAD, FAILED, NAVIGATION, SENT, frame_parents
+
+#: The browser's message for each kind of event.
+MESSAGES = {"view": SENT, "click": NAVIGATION, "error": FAILED, "purchase": DOWNLOAD, "signup": ANCHOR}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,10 +64,19 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("first_view", first)
 
 
+def browser_events(log: DataFrame) -> DataFrame:
+    """An event log in the columns that the request filters read: the start url is the first view's."""
+    method = F.coalesce(*[F.when(F.col("kind") == k, F.lit(m)) for k, m in MESSAGES.items()])
+    start = F.first(F.when(F.col("kind") == "view", F.col("url")), ignorenulls=True).over(
+        Window.partitionBy("sample_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
+    return log.select("*", method.alias("method"), start.alias("start_url"), F.lit(None).cast("map<string,string>").alias("response_headers"))
+
+
 EVENT_LOG_SQL = """
 WITH RECURSIVE raw AS (
   SELECT user_id AS sample_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, event_type AS kind,
-         CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k, epoch_ms(ts) AS ts_ms, value
+         CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k, epoch_us(ts) // 1000 AS ts_ms, value
   FROM events
 ), log AS (
   SELECT sample_id, seq, event_id, kind, k, 'http://h' || CAST(k % 10 AS VARCHAR) || '.example.com/p' || CAST(k AS VARCHAR) AS url, k % 3 AS frame_id, ts_ms, value,
@@ -85,9 +99,7 @@ def event_requests(log: DataFrame) -> DataFrame:
     kept = kept.withColumn("url", F.when(F.col("kind") == "signup", F.concat("url", F.lit("#a"))).otherwise(F.col("url")))
     root = F.first("frame_id").over(Window.partitionBy("sample_id").orderBy("seq"))
     kept = kept.withColumn("root_frame", root)
-    own = F.lag("url").over(Window.partitionBy("sample_id", "frame_id").orderBy("seq"))
-    of_root = F.last(F.when(F.col("frame_id") == F.col("root_frame"), F.col("url")), ignorenulls=True).over(before("sample_id"))
-    return kept.withColumn("parent_url", F.coalesce(own, of_root)).select("sample_id", "seq", "kind", "url", "frame_id", "ts_ms", "parent_url")
+    return frame_parents(kept.withColumn("is_root_frame", F.col("frame_id") == F.col("root_frame"))).select("sample_id", "seq", "kind", "url", "frame_id", "ts_ms", "parent_url")
 
 
 REQUESTS_SQL = (
@@ -109,23 +121,23 @@ REQUESTS_SQL = (
 )
 
 
-def event_tree(requests: DataFrame) -> DataFrame:
-    """(sample_id, node_seq, parent_seq, url, kind, ts_ms): a parent is the latest earlier request with the parent's url.
-
-    Requests and lookups run through one window for each url."""
-    builds = requests.select("sample_id", F.col("url").alias("key"), "seq", F.col("seq").alias("build"), F.lit(1).alias("order"))
-    probes = requests.select("sample_id", F.col("parent_url").alias("key"), "seq", F.lit(None).cast("long").alias("build"), F.lit(0).alias("order"))
-    w = Window.partitionBy("sample_id", "key").orderBy("seq", "order").rowsBetween(Window.unboundedPreceding, -1)
-    found = builds.unionByName(probes).withColumn("parent_seq", F.last("build", ignorenulls=True).over(w)).where(F.col("order") == 0).select("sample_id", "seq", "parent_seq")
-    return requests.join(found, ["sample_id", "seq"]).select("sample_id", F.col("seq").alias("node_seq"), F.when(F.col("parent_url").isNotNull(), F.col("parent_seq")).alias("parent_seq"), "url", "kind", "ts_ms")
+def document_requests(requests: DataFrame) -> DataFrame:
+    """Requests of an event log in the columns of schemas.REQUESTS that trees are built of."""
+    parent = F.col("parent_url")
+    return requests.select(
+        F.col("sample_id").cast("string").alias("sample_id"), "seq", F.col("url").alias("request_url"), F.when(F.col("kind") == "view", "Document").otherwise("Anchor").alias("resource_type"),
+        F.coalesce(parent, F.lit("")).alias("parent_url"), F.when(parent.isNull(), "root").otherwise("script").alias("parent_source"), F.col("ts_ms").alias("ts"),
+    )
 
 
 TREE_SQL = (
     REQUESTS_SQL
     + """
-, nodes AS (
-  SELECT r.sample_id, r.seq AS node_seq, (SELECT max(p.seq) FROM requests p WHERE p.sample_id = r.sample_id AND p.url = r.parent_url AND p.seq < r.seq) AS parent_seq, r.url, r.kind, r.ts_ms
-  FROM requests r
+, numbered_requests AS (
+  SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY seq) - 1 AS number FROM requests
+), nodes AS (
+  SELECT r.sample_id, r.number AS node_seq, (SELECT max(p.number) FROM numbered_requests p WHERE p.sample_id = r.sample_id AND p.url = r.parent_url AND p.seq < r.seq) AS parent_seq, r.url, r.kind, r.ts_ms
+  FROM numbered_requests r
 ), ordinal AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY sample_id, parent_seq ORDER BY node_seq) AS INTEGER) AS nth FROM nodes
 ), tree AS (
@@ -178,3 +190,50 @@ HMG_SQL = (
 )
 """
 )
+
+#: Graph measures of each sample: page ranks by rounds until they change little, shortest paths by counting walks (edges lead to larger numbers, so
+#: the shortest walks are the shortest paths), and what the top nodes have.
+SHAPE_SQL = (
+    HMG_SQL
+    + """
+, once AS (SELECT DISTINCT sample_id, src, dst FROM hmg_edges
+), sizes AS (SELECT sample_id, count(*) AS size FROM hmg_nodes GROUP BY sample_id
+), outs AS (SELECT sample_id, src, count(*) AS d FROM once GROUP BY ALL
+), ranks AS (
+  SELECT n.sample_id, n.sn, CAST(1.0 / size AS DOUBLE) AS x, 0 AS round, false AS done FROM hmg_nodes n JOIN sizes USING (sample_id)
+  UNION ALL
+  SELECT sample_id, sn, fresh, round + 1, sum(abs(fresh - x)) OVER (PARTITION BY sample_id) < size * 1e-6
+  FROM (
+    SELECT r.sample_id, r.sn, r.x, r.round, z.size, 0.85::DOUBLE * (coalesce(f.flow, 0) + coalesce(k.x, 0) / z.size) + 0.15::DOUBLE / z.size AS fresh
+    FROM ranks r JOIN sizes z ON z.sample_id = r.sample_id
+    LEFT JOIN (SELECT e.sample_id, e.dst, sum(q.x / o.d) AS flow FROM ranks q JOIN once e ON q.sample_id = e.sample_id AND q.sn = e.src JOIN outs o ON o.sample_id = e.sample_id AND o.src = e.src GROUP BY 1, 2) f ON f.sample_id = r.sample_id AND f.dst = r.sn
+    LEFT JOIN (SELECT q.sample_id, sum(q.x) AS x FROM ranks q LEFT JOIN outs o ON o.sample_id = q.sample_id AND o.src = q.sn WHERE o.d IS NULL GROUP BY 1) k ON k.sample_id = r.sample_id
+    WHERE NOT r.done AND r.round < 100)
+), ranked AS (SELECT sample_id, sn, x FROM ranks QUALIFY round = max(round) OVER (PARTITION BY sample_id)
+), top_rank AS (SELECT sample_id, sn AS mpr_node_sn, x AS mpr_node_pr FROM ranked QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY round(x, 12) DESC, sn) = 1
+), touched AS (SELECT sample_id, src AS sn FROM once UNION ALL SELECT sample_id, dst FROM once
+), degrees AS (SELECT n.sample_id, n.sn, count(t.sn) AS d FROM hmg_nodes n LEFT JOIN touched t ON t.sample_id = n.sample_id AND t.sn = n.sn GROUP BY n.sample_id, n.sn
+), top_degree AS (
+  SELECT d.sample_id, sn AS mdc_node_sn, CASE WHEN size > 1 THEN d / (size - 1) ELSE 1.0 END AS mdc_node_dc FROM degrees d JOIN sizes USING (sample_id) QUALIFY row_number() OVER (PARTITION BY d.sample_id ORDER BY d DESC, sn) = 1
+), walks AS (
+  SELECT sample_id, src AS s, dst AS v, 1 AS len, CAST(1 AS DOUBLE) AS c FROM once
+  UNION ALL
+  SELECT w.sample_id, w.s, e.dst, w.len + 1, sum(w.c) FROM walks w JOIN once e ON e.sample_id = w.sample_id AND e.src = w.v GROUP BY 1, 2, 3, 4
+), short AS (SELECT sample_id, s, v, min(len) AS d, arg_min(c, len) AS paths FROM walks GROUP BY 1, 2, 3
+), middles AS (
+  SELECT a.sample_id, a.v AS sn, sum(a.paths * b.paths / t.paths) AS b
+  FROM short a JOIN short b ON b.sample_id = a.sample_id AND b.s = a.v JOIN short t ON t.sample_id = a.sample_id AND t.s = a.s AND t.v = b.v AND t.d = a.d + b.d GROUP BY 1, 2
+), between_of AS (SELECT sample_id, max(b) AS most, count(*) AS amid FROM middles GROUP BY 1
+), near AS (
+  SELECT m.sample_id, count(*) AS reached, sum(d) AS far FROM top_degree m JOIN short t ON t.sample_id = m.sample_id AND t.v = m.mdc_node_sn GROUP BY 1
+), both_ways AS (SELECT DISTINCT sample_id, src, dst FROM once UNION SELECT DISTINCT sample_id, dst, src FROM once
+), reach AS (SELECT sample_id, sn AS a, sn AS b FROM hmg_nodes UNION SELECT r.sample_id, r.a, e.dst FROM reach r JOIN both_ways e ON e.sample_id = r.sample_id AND e.src = r.b
+), parts AS (SELECT sample_id, count(DISTINCT low) AS component_cnt FROM (SELECT sample_id, a, min(b) AS low FROM reach GROUP BY 1, 2) GROUP BY 1
+), shape AS (
+  SELECT z.sample_id, z.size, coalesce((SELECT max(len) FROM walks w WHERE w.sample_id = z.sample_id), 0) AS longest_path_len, component_cnt, (SELECT count(*) FROM degrees g WHERE g.sample_id = z.sample_id AND g.d = 0) / z.size AS isolate_ratio,
+         mpr_node_sn, mpr_node_pr, mdc_node_sn, mdc_node_dc, CASE WHEN far > 0 THEN reached / far * reached / (z.size - 1) ELSE 0.0 END AS mdc_closeness,
+         CASE WHEN z.size > 2 THEN coalesce(most, 0) / ((z.size - 1) * (z.size - 2)) ELSE 0.0 END AS max_betweenness, coalesce(amid, 0) AS nonzero_betweenness_cnt
+  FROM sizes z JOIN parts USING (sample_id) JOIN top_rank USING (sample_id) JOIN top_degree USING (sample_id) LEFT JOIN near USING (sample_id) LEFT JOIN between_of USING (sample_id)
+)
+"""
+)

@@ -39,8 +39,11 @@ def parse_lines(line: Column, schema: str) -> Column:
 
 
 def log_lines(spark: SparkSession, paths) -> DataFrame:
-    """(folder, seq, line) of text files; seq is the line's place in its file."""
-    files = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("folder"), "value")
+    """(folder, seq, line) of text files; seq is the line's place in its file. Folders are named as they are or as ``save_lines`` names them."""
+    decoded = lambda c: F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    name = decoded(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    folder = F.when(name.startswith("folder="), decoded(F.substring(name, 8, 1000))).otherwise(name)
+    files = spark.read.text(paths, wholetext=True).select(folder.alias("folder"), "value")
     lines = files.select("folder", F.posexplode(F.split("value", "\n")).alias("seq", "line"))
     return lines.where(F.trim("line") != "").select("folder", F.col("seq").cast("long").alias("seq"), "line")
 
@@ -57,21 +60,27 @@ def events(lines: DataFrame, domain: Column | None = None) -> DataFrame:
         p("requestId").alias("request_id"), p("frameId").alias("frame_id"), p("parentFrameId").alias("parent_frame_id"), p("loaderId").alias("loader_id"),
         p("type").alias("resource_type"), p("documentURL").alias("document_url"), F.coalesce(p("request.url"), p("url")).alias("url"),
         p("request.urlFragment").alias("url_fragment"), p("request.method").alias("http_method"), p("request.headers").alias("request_headers"),
-        p("initiator.type").alias("initiator_type"), p("initiator.url").alias("initiator_url"),
+        p("initiator.type").alias("initiator_type"), p("initiator.url").alias("initiator_url"), p("initiator.stack").isNotNull().alias("has_stack"),
         F.array_distinct(F.filter(frames, lambda u: u.isNotNull() & (u != ""))).alias("call_urls"),
         p("redirectResponse.url").alias("redirect_url"), p("redirectResponse.status").alias("redirect_status"), p("redirectResponse.headers").alias("redirect_headers"),
         p("response.status").alias("status"), p("response.headers").alias("response_headers"), p("reason").alias("reason"),
     )
 
 
-def read_logs(spark: SparkSession, root: str) -> DataFrame:
-    """Events of every sample folder under ``root``."""
-    return events(log_lines(spark, f"{root}/*/performance_log.txt"))
+def save_lines(lines: DataFrame, root: str) -> None:
+    """Lines (folder, seq, line) as one text file for each folder, in the order of seq."""
+    ordered = lines.repartition("folder").sortWithinPartitions("folder", "seq")
+    ordered.select("folder", F.col("line").alias("value")).write.mode("overwrite").partitionBy("folder").text(root)
 
 
-def read_responses(spark: SparkSession, root: str, request_ids: DataFrame | None = None) -> DataFrame:
+def read_logs(spark: SparkSession, root: str, files: str = "performance_log.txt", domain: Column | None = None) -> DataFrame:
+    """Events of every sample folder under ``root``; ``files`` names the log in each."""
+    return events(log_lines(spark, f"{root}/*/{files}"), domain)
+
+
+def read_responses(spark: SparkSession, root: str, request_ids: DataFrame | None = None, files: str = "response_log.txt") -> DataFrame:
     """(sample_id, request_id, body, ts): the last body of each request. ``request_ids`` (request_id): the wanted ones; none means all."""
-    lines = log_lines(spark, f"{root}/*/response_log.txt")
+    lines = log_lines(spark, f"{root}/*/{files}")
     record = parse_lines(F.col("line"), "struct<requestId:string,body:string,timestamp:long>")
     rows = lines.select(F.col("folder").alias("sample_id"), "seq", record.alias("r")).select("sample_id", "seq", F.col("r.requestId").alias("request_id"), F.col("r.body").alias("body"), F.col("r.timestamp").alias("ts"))
     if request_ids is not None:

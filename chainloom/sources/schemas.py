@@ -32,7 +32,7 @@ ROC = "fp double, tp double, threshold double"
 #: Flat log events, requests with their parents, and tree nodes.
 LOG = """sample_id string, start_url string, seq long, ts long, method string, request_id string, frame_id string, parent_frame_id string, loader_id string,
   resource_type string, document_url string, url string, url_fragment string, http_method string, request_headers map<string,string>,
-  initiator_type string, initiator_url string, call_urls array<string>, redirect_url string, redirect_status int, redirect_headers map<string,string>,
+  initiator_type string, initiator_url string, has_stack boolean, call_urls array<string>, redirect_url string, redirect_status int, redirect_headers map<string,string>,
   status int, response_headers map<string,string>, reason string"""
 REQUESTS = "sample_id string, seq long, request_url string, resource_type string, parent_url string, parent_source string, ts long, frame_id string"
 TREE = """sample_id string, seq long, node_seq int, url string, url_fragment string, parent_seq int, parent_source string, resource_type string, ts long,

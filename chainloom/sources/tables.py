@@ -12,10 +12,11 @@ from chainloom.sources import schemas
 TSV = {"sep": "\t", "quote": "", "escape": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": ""}
 
 
-def read_tsv(spark: SparkSession, path, schema: str) -> DataFrame:
-    """A headerless TSV; absent texts are empty, not null."""
+def read_tsv(spark: SparkSession, path, schema: str, place: str | None = None) -> DataFrame:
+    """A headerless TSV; absent texts are empty, not null. place: a column with each line's place in the order of files and lines."""
     df = spark.read.options(**TSV, nullValue="\u0000").schema(schema).csv(path)
-    return df.select(*[F.coalesce(F.col(f.name), F.lit("")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in df.schema.fields])
+    at = [F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias(place)] if place else []
+    return df.select(*at, *[F.coalesce(F.col(f.name), F.lit("")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in df.schema.fields])
 
 
 def sample_id(domain: Column, source: Column) -> Column:
@@ -55,13 +56,30 @@ def load_chains(spark: SparkSession, paths: dict[str, str], sample: str | None =
     parts = []
     for k, origin in enumerate(CHAIN_FILES[label]):
         if origin in paths:
-            parts.append(read_tsv(spark, paths[origin], schemas.CHAINS).select(sample_id(F.col("domain"), F.col("source")).alias("sample_id"), "label", F.split("urls", " ").alias("urls"), F.lit(k).alias("file_no"), F.monotonically_increasing_id().alias("line_no")))
+            parts.append(read_tsv(spark, paths[origin], schemas.CHAINS, "line_no").select(sample_id(F.col("domain"), F.col("source")).alias("sample_id"), "label", F.split("urls", " ").alias("urls"), F.lit(k).alias("file_no"), "line_no"))
     rows = reduce(DataFrame.unionByName, parts)
     if sample:
         rows = rows.where(F.col("sample_id") == sample)
     return last_of_key(rows, "sample_id", "file_no", "line_no").drop("file_no", "line_no")
 
 
+# Which files hold a label's nodes, in the order in which they are read.
+NODE_FILES = {None: ("benign", "malicious", "current"), "malicious": ("malicious", "current"), "benign": ("benign",)}
+
+
+def load_nodes(spark: SparkSession, paths: dict[str, str], sample: str | None = None, label: str | None = None) -> DataFrame | None:
+    """Node rows (sample_id and the columns of schemas.NODES) of node files, for ``tree.recover_trees``. ``sample``: only that one, from the first
+    file that has it. Unknown labels give None."""
+    if label not in NODE_FILES:
+        return None
+    parts = [read_tsv(spark, paths[origin], schemas.NODES).withColumn("file_no", F.lit(k)) for k, origin in enumerate(NODE_FILES[label]) if origin in paths]
+    rows = reduce(DataFrame.unionByName, parts).withColumn("sample_id", sample_id(F.col("domain"), F.col("source")))
+    if sample:
+        rows = rows.where(F.col("sample_id") == sample)
+        rows = rows.withColumn("first file", F.min("file_no").over(Window.partitionBy("sample_id"))).where(F.col("file_no") == F.col("first file")).drop("first file")
+    return rows.drop("file_no")
+
+
 def load_initiators(spark: SparkSession, path) -> DataFrame:
     """(sample_id, initiators array of hop and initiator): the rows of each sample together."""
     rows = read_tsv(spark, path, schemas.INITIATORS)
@@ -73,12 +91,13 @@ def sample_paths(entries: DataFrame, roots: DataFrame, default_root: str) -> Dat
     return entries.join(roots, "source", "left").withColumn("path", F.concat_ws("/", F.coalesce("root", F.lit(default_root)), F.when(F.col("root").isNull(), F.col("source")).otherwise(F.col("domain")))).drop("root")
 
 
-def read_tags(spark: SparkSession, root: str) -> DataFrame:
-    """Tags of every sample and nested frame, of files with four columns (as written) or five (with the type)."""
-    lines = spark.read.text(root, recursiveFileLookup=True, pathGlobFilter="redirection_tags.txt").select(F.col("_metadata.file_path").alias("file"), F.split("value", "\t").alias("f"))
+def read_tags(spark: SparkSession, root: str, files: str = "redirection_tags.txt") -> DataFrame:
+    """Tags of every sample and nested frame, of files with four columns (as written) or five (with the type). ``files`` names them."""
+    lines = spark.read.text(root, recursiveFileLookup=True, pathGlobFilter=files).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\t").alias("f"))
     typed = ~F.get("f", F.lit(1)).rlike("^[01]$")
     at = lambda i: F.when(typed, F.get("f", F.lit(i + 1))).otherwise(F.get("f", F.lit(i)))
-    relative = F.regexp_extract("file", r"(?:^|/)" + root.rstrip("/").rsplit("/", 1)[-1] + r"/(.*)/redirection_tags\.txt$", 1)
+    relative = F.regexp_extract("file", r"(?:^|/)" + root.rstrip("/").rsplit("/", 1)[-1] + r"/(.*)/[^/]+\.txt$", 1)
+    relative = F.regexp_replace(relative, "sample_id=", "")
     return lines.where(F.size("f") >= 4).select(
         F.split_part(relative, F.lit("/"), F.lit(1)).alias("sample_id"), F.regexp_extract(relative, "^[^/]+/(.*)$", 1).alias("frame_path"), F.get("f", F.lit(0)).alias("tag_id"),
         F.when(typed, F.get("f", F.lit(1))).otherwise(F.regexp_extract(F.get("f", F.lit(0)), r"^(.*)_\d+$", 1)).alias("tag_type"), (at(1).try_cast("int") == 1).alias("visible"),
@@ -105,6 +124,27 @@ def save_tags(tags: DataFrame, path: str) -> None:
     out.write.mode("append").partitionBy("tag_type").parquet(path)
 
 
+def save_tag_files(tags: DataFrame, path: str) -> None:
+    """Tag rows as ``save_tags`` takes them, with rects as text, in one four-column text file for each sample, types in their order."""
+    w = Window.partitionBy("sample_id", "tag_type").orderBy("seq")
+    kind = F.when(F.col("tag_type").isin("a", "area", "onclick", "iframe"), F.col("tag_type")).otherwise("iframe")
+    named = tags.withColumn("tag_type", kind).withColumn("n", F.row_number().over(w) - 1)
+    line = F.concat_ws("\t", F.concat_ws("_", "tag_type", "n"), F.col("visible").cast("int").cast("string"), "rects", "outer_html")
+    ordered = named.select("sample_id", "tag_type", "n", line.alias("value")).repartition("sample_id").sortWithinPartitions("sample_id", "tag_type", "n")
+    ordered.select("sample_id", "value").write.mode("overwrite").partitionBy("sample_id").text(path)
+
+
+def save_manifest(samples: DataFrame, path: str) -> None:
+    """Crawled samples (the columns of schemas.MANIFEST), appended."""
+    write_tsv(samples.select(*[c.split()[0] for c in schemas.MANIFEST.split(", ")]), path, "append")
+
+
+def save_failures(failures: DataFrame, path: str) -> None:
+    """Crawls that failed (the columns of schemas.FAILURES), appended; texts on one line."""
+    one = lambda c: F.translate(F.coalesce(F.col(c), F.lit("")), "\t\n\r", "   ")
+    write_tsv(failures.select(one("domain").alias("domain"), one("exception").alias("exception")), path, "append")
+
+
 def save_chains(chains: DataFrame, path: str) -> None:
     """Chains as the ten columns of an entries file."""
     write_tsv(
@@ -137,6 +177,12 @@ def save_nodes(tree: DataFrame, path: str) -> None:
     node_rows(tree).write.mode("overwrite").parquet(path)
 
 
+def save_node_file(tree: DataFrame, entries: DataFrame, path: str) -> None:
+    """Trees of samples (sample_id, domain, label, source) as a node file."""
+    rows = node_rows(tree).join(entries, "sample_id")
+    write_tsv(rows.select(*[c.split()[0] for c in schemas.NODES.split(", ")]), path)
+
+
 def save_features(features: DataFrame, path: str) -> int:
     """Feature rows of samples with more than one node; their number."""
     kept = features.where(F.col("node_cnt") > 1)

@@ -49,8 +49,11 @@ def test_log_to_initiators(spark):
     assert (framed.urls[-1], framed.methods[-1], framed.hops, framed.has_iframe) == ("http://frame/", "script", 3, True)
     deep = I.hop_initiators(tree, log, spark.createDataFrame([("s", "http://frame/")], "sample_id string, end_url string")).collect()
     assert sorted((r.hop_url, r.init_url) for r in deep) == [("http://e/#top", D + "a.js"), ("http://frame/", D + "b.js")]
-    edges = I.whole_tree_edges(tree_edges(tree), I.hop_initiators(tree, log, ends))
-    assert {(D, "http://e/#top"), (D + "a.js", "http://e/#top"), ("http://e/#top", "http://end/x")} <= {tuple(r) for r in edges.collect()}
+    name = {r.node_seq: r.url + r.url_fragment for r in tree.collect()}
+    edges = I.whole_tree_edges(tree, I.initiator_pairs(tree, I.hop_initiators(tree, log, ends)))
+    assert {(D, "http://e/#top"), (D + "a.js", "http://e/#top"), ("http://e/#top", "http://end/x")} <= {(name[r.src], name[r.dst]) for r in edges.collect()}
+    bare = log.withColumn("initiator_url", F.lit(None).cast("string")).withColumn("has_stack", F.lit(False))
+    assert I.hop_initiators(tree, bare, ends).count() == 0
 
 
 def test_log_to_message_graph(spark):

@@ -101,14 +101,38 @@ def test_chains_and_flags(spark):
 def test_summary_and_degrees(spark):
     rows = [("s1", 1, "http://www.a.com/1", "i", "Script"), ("s1", 2, "http://a.com/2", "i", "Other"), ("s2", 3, "http://b.org/", "i", "Other"), ("s2", 4, "http://10.0.0.1/", "j", "Script")]
     got = {r.init_url: r for r in I.initiator_summary(spark.createDataFrame(rows, "sample_id string, seq long, hop_url string, init_url string, init_type string")).collect()}
-    assert (got["i"].freq, got["i"].e2lds, got["i"].type) == (3, ["a.com", "b.org"], "Script")
-    assert got["i"].samples == {"s1": ["http://www.a.com/1", "http://a.com/2"], "s2": ["http://b.org/"]}
-    assert got["j"].e2lds == []
+    df = spark.createDataFrame(rows, "sample_id string, seq long, hop_url string, init_url string, init_type string")
+    assert (got["i"].freq, got["i"].n_samples, got["i"].n_e2lds, got["i"].type) == (3, 2, 2, "Script") and got["j"].n_e2lds == 0
+    assert {(r.init_url, r.sample_id, r.n, tuple(r.urls)) for r in I.initiator_samples(df).collect()} == {("i", "s1", 2, ("http://www.a.com/1", "http://a.com/2")), ("i", "s2", 1, ("http://b.org/",)), ("j", "s2", 1, ("http://10.0.0.1/",))}
+    assert {tuple(r) for r in I.initiator_names(df).collect()} == {("i", "a.com"), ("i", "b.org")}
     edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "a"), ("b", "c")], "src string, dst string")
     assert {(r.node, r.in_degree, r.out_degree, r.degree) for r in I.graph_degrees(edges).collect()} == {("a", 1, 2, 3), ("b", 1, 1, 2), ("c", 1, 0, 1)}
-    chain = spark.createDataFrame([(["a", "b", "c"],), (["z"],)], "urls array<string>")
-    issued = spark.createDataFrame([("i", "b")], "init_url string, hop_url string")
-    assert {tuple(r) for r in I.chain_edges(chain, issued).collect()} == {("a", "b"), ("b", "c"), ("i", "b")}
+
+
+def test_graphs_have_nodes_not_urls(spark):
+    """Two nodes with one url, and two samples, stay apart."""
+    t = make(spark, DEMO, ["http://r/", "http://a/", "http://a/", "http://c/", "http://d/", "http://e/", "http://f/"])
+    ends = spark.createDataFrame([("s", "http://e/")], "sample_id string, end_url string")
+    at = {r.node_seq: (r.url, r.ts) for r in t.collect()}
+    issued = spark.createDataFrame([("s", at[3][0], at[3][1], at[2][0], at[2][1]), ("s", at[3][0], at[3][1], "http://nowhere/", 1)], "sample_id string, hop_url string, hop_ts long, init_url string, init_ts long")
+    pairs = I.initiator_pairs(t, issued)
+    (found,) = pairs.collect()
+    assert found.dst == 3 and at[found.src][0] == "http://a/"
+    both = t.unionByName(t.withColumn("sample_id", F.lit("other")))
+    whole = {tuple(r) for r in I.whole_tree_edges(both, pairs).collect()}
+    assert len(whole) == 2 * 6 + 1 - (("s", found.src, 3) in {(r.sample_id, r.parent_seq, r.node_seq) for r in t.collect()})
+    chain = {tuple(r) for r in I.chain_edges(both, ends, pairs).collect()}
+    assert chain < whole and all(s == "s" for s, _, _ in chain)
+    assert {r.sample_id for r in I.graph_degrees(I.whole_tree_edges(both, pairs)).collect()} == {"s", "other"}
+
+
+def test_ends_by_url(spark):
+    t = make(spark, DEMO, ["http://r/", "http://a/", "http://b/", "http://c/", "http://d/", "http://e/", "http://f/"])
+    asked = spark.createDataFrame([("s", None, "HTTP://E/"), ("s", "http://a/", "http://e/"), ("s", "http://R/", "http://c/"), ("s", "http://x/", "http://c/"), ("s", None, "http://x/")], "sample_id string, start_url string, end_url string")
+    at = {r.url: r.node_seq for r in t.collect()}
+    loose = {(None, at["http://e/"]), (at["http://a/"], at["http://e/"]), (at["http://r/"], at["http://c/"])}
+    assert {(r.start_seq, r.end_seq) for r in T.ends_by_url(t, asked).collect()} == loose
+    assert {(r.start_seq, r.end_seq) for r in T.ends_by_url(t, asked, True).collect()} == loose - {(at["http://a/"], at["http://e/"])}
 
 
 def test_node_file_round_trip(spark):
