@@ -51,7 +51,7 @@ FILL = set(".-_*~'`^/\\,:;=#·•")
 SAME_DIGIT, SWAP, DROP_FILL, DROP_REPEAT, DROP_OTHER, DROP_SPACE, BOUND = 6.0, 0.7, 0.3, 0.5, 7.0, 0.3, 0.3
 
 SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
-TWICE = re.compile(r"(.)\1")
+TWICE, TWICE_ON = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
 RUN = re.compile(r"(.)\1\1")
 EDGES = " \t\r\n.,;:!?\"'()[]{}<>«»“”‘’…-_"
 ODD = re.compile(r"[0-9@$!|+€£(<¡*.\-_~'`^/\\,:;=#·•]")
@@ -191,6 +191,11 @@ def summary(weights: list[float], n_words: int) -> list[float]:
     return [max(weights, default=0.0) / 4, math.log1p(total), min(4.0, 10 * total / (10 + n_words))]
 
 
+def squeezed(word: str) -> str:
+    """A word with each run of one letter as a single one."""
+    return TWICE_ON.sub(r"\1", word)
+
+
 class Scorer:
     """The model that workers hold; its size is bounded by MAX_MARKS and the trigrams of letters that occur."""
 
@@ -198,12 +203,29 @@ class Scorer:
         self.marks, self.trigrams, self.beta = marks, trigrams, beta
         self.chars: CharModel | None = None
         self.known: dict[str, float] = {}
+        self.wholes: set[str] = set()
+        self.starts: set[str] = set()
+
+    def prepare(self) -> None:
+        self.chars = CharModel(self.trigrams)
+        self.wholes = {squeezed(n[1:]) for n in self.marks if n[0] == "="}
+        self.starts = {squeezed(n[1:]) for n in self.marks if n[0] == "^"}
+
+    def may_mark(self, token: str) -> bool:
+        """Whether a lattice of ``token`` can hold a marked word. Where letters only repeat and all else is filling, each of its words has
+        the token's letters without their repeats, so it isn't decoded if no mark has these."""
+        letters = "".join(c for c in token if c not in FILL)
+        if not letters.isalpha():
+            return True
+        s = squeezed(letters)
+        return s in self.wholes or any(s[:k] in self.starts for k in range(1, max(PREFIXES) + 1))
 
     def weight(self, token: str) -> float:
         if self.chars is None:
-            self.chars = CharModel(self.trigrams)
+            self.prepare()
         marks = self.marks
-        return max((marks.get(n, 0.0) for w in restore(token, self.chars) for n in names_of(w)), default=0.0)
+        chars = self.chars if self.may_mark(token) else None
+        return max((marks.get(n, 0.0) for w in restore(token, chars) for n in names_of(w)), default=0.0)
 
     def score(self, text: str) -> float:
         known = self.known

@@ -102,6 +102,16 @@ def test_the_score_is_what_its_parts_say(spark, scorer):
         assert scorer.score(row.text) == pytest.approx(1 / (1 + np.exp(-z)))
 
 
+def test_tokens_that_are_not_decoded_have_no_mark(scorer):
+    r = random.Random(14)
+    scorer.score("x")
+    for _ in range(3000):
+        w = r.choice(["idiot", "moron", "loser", "scum", "river", "letter", "idle", "school", "looser"])
+        t = "".join(c * r.choice([1, 1, 2, 3]) + r.choice(["", "", "", ".", "-", ","]) for c in w)
+        if not scorer.may_mark(t):
+            assert scorer.weight(t) == max((scorer.marks.get(n, 0.0) for x in toxicity.restore(t, scorer.chars) for n in toxicity.names_of(x)), default=0.0)
+
+
 def test_held_out_documents_are_told_apart(spark):
     docs, labels = toy_labels(spark, 600)
     scored = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
