@@ -203,11 +203,13 @@ class Scorer:
         self.marks, self.trigrams, self.beta = marks, trigrams, beta
         self.chars: CharModel | None = None
         self.known: dict[str, float] = {}
+        self.heads: set[str] = set()
         self.wholes: set[str] = set()
         self.starts: set[str] = set()
 
     def prepare(self) -> None:
         self.chars = CharModel(self.trigrams)
+        self.heads = {n[1 : 1 + PREFIXES[0]] for n in self.marks}
         self.wholes = {squeezed(n[1:]) for n in self.marks if n[0] == "="}
         self.starts = {squeezed(n[1:]) for n in self.marks if n[0] == "^"}
 
@@ -223,9 +225,13 @@ class Scorer:
     def weight(self, token: str) -> float:
         if self.chars is None:
             self.prepare()
-        marks = self.marks
-        chars = self.chars if self.may_mark(token) else None
-        return max((marks.get(n, 0.0) for w in restore(token, chars) for n in names_of(w)), default=0.0)
+        core = token.rstrip(EDGES)
+        if core.isalpha() and not TWICE.search(core):  # nothing to restore
+            words = (core,)
+        else:
+            words = restore(token, self.chars if self.may_mark(token) else None)
+        marks, heads = self.marks, self.heads
+        return max((marks.get(n, 0.0) for w in words if w[: PREFIXES[0]] in heads for n in names_of(w)), default=0.0)
 
     def score(self, text: str) -> float:
         known = self.known
