@@ -14,7 +14,7 @@ from chainloom.plans.queries import roc_points as all_roc_points
 from chainloom.plans.queries import ORACLES
 from chainloom.sources import adapters, logs, schemas, tables
 from chainloom.sources.adapters import CHAIN_STEPS_SQL, EVENT_LOG_SQL, SHAPE_SQL, TREE_SQL, table
-from chainloom.sources.scratch import new_folder
+from chainloom.sources.scratch import materialize, new_folder
 
 #: A sample's number in the form of the time stamp that ends a folder's name.
 STAMP = (r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3-$4-$5-$6")
@@ -124,7 +124,7 @@ SELECT 'u' || CAST(w.sample_id AS VARCHAR) || ':s' AS sample_id, w.bfs AS node_s
 FROM walked w LEFT JOIN walked p ON p.sample_id = w.sample_id AND p.node_seq = w.parent_seq""")
 def files_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trees that are recovered from node files, one file for samples with a long tree and one for others."""
-    t = _event_trees(spark, sf_dir)
+    t = materialize(_event_trees(spark, sf_dir), "event-trees")
     entries = t.groupBy("sample_id").agg(F.count("*").alias("n")).select("sample_id", F.concat(F.lit("u"), "sample_id").alias("domain"), F.when(F.col("n") > 20, "malicious").otherwise("benign").alias("label"), F.lit("s").alias("source"))
     paths = {}
     for label in ("malicious", "benign"):
@@ -243,7 +243,7 @@ def area_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT sample_id, node_seq AS end_seq, CAST(len(path) AS BIGINT) AS n FROM first""")
 def chain_between_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain from the root to the first node with the url of each tree's last node, compared as text."""
-    t = _tree(spark, sf_dir)
+    t = materialize(_tree(spark, sf_dir), "event-trees")
     asked = t.groupBy("sample_id").agg(F.upper(F.max_by("url", "node_seq")).alias("end_url"))
     found = tree.intermediaries(t, tree.ends_by_url(t, asked, strict=True))
     return found.groupBy("sample_id", "end_seq").agg(F.count("*").alias("n"))

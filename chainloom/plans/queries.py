@@ -13,6 +13,7 @@ from chainloom.functions.suffix import with_suffix
 from chainloom.operators import chaingraph, hmg, initiators, ml, requests, tags, tree
 from chainloom.sources import adapters, logs
 from chainloom.sources.adapters import CHAIN_STEPS_SQL, EVENT_LOG_SQL, HMG_SQL, REQUESTS_SQL, SHAPE_SQL, TREE_SQL, table
+from chainloom.sources.scratch import materialize
 from chainloom.sources.tables import last_of_key
 from chainloom.streaming import ingest
 
@@ -356,7 +357,7 @@ def tree_bfs_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 , ends AS (SELECT sample_id, max(node_seq) AS end_seq FROM tree GROUP BY sample_id)
 SELECT e.sample_id, e.end_seq, unnest(range(0, len(t.path))) AS at, unnest(t.path) AS node_seq FROM ends e JOIN tree t ON t.sample_id = e.sample_id AND t.node_seq = e.end_seq""")
 def chain_intermediaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tree(spark, sf_dir)
+    t = materialize(_tree(spark, sf_dir), "event-trees")
     ends = t.groupBy("sample_id").agg(F.max("node_seq").alias("end_seq"))
     return counted(tree.intermediaries(t, ends), "sample_id", "end_seq", "at", "node_seq")
 
@@ -369,7 +370,7 @@ def chain_intermediaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT sample_id, base_seq, init_seq FROM met
 QUALIFY row_number() OVER (PARTITION BY sample_id, base_seq ORDER BY CASE WHEN met = 1 AND init_seq = base_seq THEN 0 ELSE 1 END, CASE WHEN init_seq = base_seq THEN 1 ELSE 0 END, ts_ms DESC, visit) = 1""")
 def initiator_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tree(spark, sf_dir)
+    t = materialize(_tree(spark, sf_dir), "event-trees")
     plain = t.withColumn("url", U.without_fragment(F.col("url"))).withColumn("ts", F.col("ts_ms")).withColumn("resource_type", F.col("kind"))
     asked = plain.where("kind = 'signup'").select("sample_id", F.col("node_seq").alias("base_seq"), F.col("ts").alias("base_ts"), F.col("url").alias("initiator_url"))
     return tree.nearest_initiator(plain, asked).select("sample_id", "base_seq", "init_seq")
@@ -532,12 +533,12 @@ def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _crawl(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Events, requests, trees and end urls of printed log lines; the whole way from text to trees."""
+    """Events, requests, trees and end urls of printed log lines; the whole way from text to trees, each made once."""
     log = event_lines(spark, sf_dir)
-    parsed = requests.target_events(logs.events(log, F.col("domain")))
-    asked = requests.resolve_parents(parsed)
+    parsed = materialize(requests.target_events(logs.events(log, F.col("domain"))), "target-events")
+    asked = materialize(requests.resolve_parents(parsed), "requests")
     ends = asked.where("resource_type = 'Document'").groupBy("sample_id").agg(F.max_by("request_url", "seq").alias("end_url"))
-    return parsed, asked, tree.build_trees(asked), ends
+    return parsed, asked, materialize(tree.build_trees(asked), "trees"), ends
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
