@@ -4,9 +4,10 @@ A document's set of word shingles is hashed by one function; its ``SKETCH`` smal
 are one class from then on. Inverted lists of retained values generate overlaps: of a sketch, the values that the most
 documents share are left out as far as two linked sketches still share a listed one (``listed_length``), so frequent passages
 don't fill lists. In each list all others meet one centre (a star, not all pairs), the document with the most frequent values.
-Only what stays in different components meets again: in short lists directly; documents of crowded lists by families (one for each
-centre), block against block, where the counts of both sets in ``BUCKETS`` hash buckets bound their overlap from above, so that only pairs
-that may be linked leave a task. The union sketch of a pair estimates its similarity and filters; the rest is verified on full
+Only what stays in different components meets again: in short lists directly; documents of crowded lists where their whole sets share one
+of their rarest shingles (prefix filtering), in short lists directly, in longer ones by families (one for each centre), block against
+block but for the family's largest component with itself. There the counts of both sets in ``BUCKETS`` hash buckets bound their overlap from
+above, so that only pairs that may be linked leave a task. The union sketch of a pair estimates its similarity and filters; the rest is verified on full
 sets. Components come from alternating star contractions, whose rounds grow with the logarithm of a chain.
 
 Cases: null and empty texts have an empty set and are linked with nothing; fewer words than a shingle are one shingle;
@@ -146,28 +147,103 @@ def estimated(pairs: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where((in_union >= estimate_at_least(similar) * F.size(union)) & (shared > 0)).select("a", "b")
 
 
+def prefix_length(n: int, similar: int) -> int:
+    """How many values of a whole set, in one order for all, must be listed so that linked sets meet in a list."""
+    return n + similar * -n // 100 + 1
+
+
+def prefixes(members: DataFrame, texts: DataFrame, similar: int) -> DataFrame:
+    """(value, id, n, component, common): the rarest shingles of each member (id, component), as many as linked sets must share one of.
+
+    Any order serves that is the same for all members; here the most frequent shingles among them come last."""
+    body = materialize(texts.join(members.withColumnRenamed("id", "node"), "node").select(F.col("node").alias("id"), "component", "text"), "members")
+    counts = pa.schema([("value", pa.int64()), ("count", pa.int64())])
+    arrow = pa.schema([("value", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("component", pa.int64()), ("common", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t) for t in b.column(0).to_pylist()]
+            values, many = np.unique(np.concatenate(sets), return_counts=True)
+            yield batch(counts, [values.view(np.int64), many])
+
+    counted = arrow_map(body.select("text"), count, "value long, count long").groupBy("value").agg(F.sum("count").alias("count"))
+    often = materialize(counted.where(F.col("count") >= FREQUENT_FROM), "frequent-shingles")
+    frequent = sorted(most_frequent(often, "count", MAX_FREQUENT), key=lambda r: r["value"])
+    discard(often)
+    known = np.array([r["value"] for r in frequent], np.int64)
+    weight = np.array([r["count"] for r in frequent], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for i, c, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                own = shingles(text).view(np.int64)
+                rank = np.zeros(len(own), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, weight[at], 0)
+                chosen = own[np.lexsort((own, rank))][: prefix_length(len(own), similar)]
+                for column, x in zip(out, (chosen, i, len(own), c, int((rank > 0).sum())), strict=True):
+                    column.append(x if column is out[0] else np.full(len(chosen), x, np.int64))
+            yield batch(arrow, [np.concatenate(x) for x in out])
+
+    return arrow_map(body, run, "value long, id long, n long, component long, common long")
+
+
+def crowd_pairs(crowd: DataFrame, texts: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) of the crowd (id, component) in different components that may be linked: those whose whole sets share one of
+    their rarest shingles. Short lists meet directly, long ones by families (one for each centre), block against block."""
+    lists = materialize(prefixes(crowd, texts, similar).distinct(), "prefixes")
+    rank = F.struct(F.col("common"), F.xxhash64("id"))
+    best = lists.groupBy("value").agg(F.max_by("id", rank).alias("family"), F.count("*").alias("many"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = materialize(best.where("low <> high").select("value", "family", "many"), "mixed-prefixes")
+    rest = materialize(lists.join(mixed, "value").select("value", "family", "many", "id", "n", "component"), "apart-prefixes")
+    discard(lists, mixed)
+    near = estimated(list_pairs(rest, similar), classes, similar)
+    pairs = near.unionByName(family_pairs(rest.where(F.col("many") > SHORT).select("family", "id", "component").distinct(), classes, similar))
+    out = materialize(pairs.distinct(), "crowd-pairs")
+    discard(rest)
+    return out
+
+
+def list_pairs(lists: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) in different components that meet in a short list and whose sizes allow a link."""
+    short = lists.where(F.col("many") <= SHORT)
+    x = short.select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    y = short.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    alike = 100 * F.least("na", "nb") >= similar * F.greatest("na", "nb")
+    return x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
+
+
 def family_pairs(members: DataFrame, classes: DataFrame, similar: int) -> DataFrame:
     """Pairs (a, b) of one family (family, id, component) in different components whose bucket counts allow a link.
 
-    Each block of documents meets each block of its family in a task; a task holds two blocks at most."""
-    sizes = materialize(members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "family-sizes")
-    dealt = members.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    A family's largest component is never compared with itself: its blocks meet those of the other members only, so a family that is
+    one group of near copies but for a few costs a few blocks. A task holds two blocks at most."""
+    parts = members.groupBy("family", "component").count()
+    most = F.max(F.struct(F.col("count"), F.col("component"))).alias("most")
+    sizes = parts.groupBy("family").agg(most, F.sum("count").alias("all"))
+    sizes = sizes.select("family", F.col("most.component").alias("main"), F.ceil(F.col("most.count") / BLOCK).cast("int").alias("inner"), F.ceil((F.col("all") - F.col("most.count")) / BLOCK).cast("int").alias("outer"))
+    sizes = materialize(sizes.where("outer > 0"), "family-sizes")
+    main = F.col("component") == F.col("main")
+    # blocks of the others come first, those of the largest component after them
+    own = F.when(main, F.col("outer") + F.pmod(F.xxhash64("id"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("id"), F.col("outer"))).cast("int")
+    dealt = members.join(sizes, "family").withColumn("own", own).withColumn("last", F.when(main, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
     data = dealt.join(classes.select("id", "n", "buckets"), "id")
-    met = data.select("family", "id", "component", "n", "buckets", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = data.select("family", "id", "component", "n", "buckets", "own", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
     met = met.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "component", "n", "buckets")
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(rows: list[tuple], high: int) -> list[tuple[int, int]]:
-        x = [r for r in rows if r[0] != high] or rows
+    def compare(rows: list[tuple], low: int, high: int) -> list[tuple[int, int]]:
+        x = [r for r in rows if r[0] == low]
         y = [r for r in rows if r[0] == high]
-        same = x is rows
         cy, ny, iy = np.array([r[2] for r in y]), np.array([r[3] for r in y]), np.array([r[1] for r in y])
-        if len(set(cy.tolist()) | {r[2] for r in x}) == 1:
+        if not x or not y or len(set(cy.tolist()) | {r[2] for r in x}) == 1:
             return []
         held = np.stack([counts_of(r[4]).astype(np.uint32) for r in y]) if any(len(r[4]) != BUCKETS for r in rows) else np.stack([counts_of(r[4]) for r in y])
         found = []
         for _, i, c, n, stored in x:
-            at = np.flatnonzero((cy != c) & (100 * np.minimum(ny, n) >= similar * np.maximum(ny, n)) & ((iy > i) | (not same)))
+            at = np.flatnonzero((cy != c) & (100 * np.minimum(ny, n) >= similar * np.maximum(ny, n)) & ((iy > i) | (low != high)))
             if len(at):
                 bound = np.minimum(held[at], counts_of(stored).astype(held.dtype)).sum(1, dtype=np.int64)
                 for k in at[(100 + similar) * bound >= similar * (ny[at] + n)].tolist():
@@ -180,12 +256,12 @@ def family_pairs(members: DataFrame, classes: DataFrame, similar: int) -> DataFr
             found: list[tuple[int, int]] = []
             for family, low, high, *row in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
                 if group != (family, low, high):
-                    found += compare(rows, group[2]) if rows else []
+                    found += compare(rows, *group[1:]) if rows else []
                     group, rows = (family, low, high), []
                 rows.append(tuple(row))
             if found:
                 yield batch(arrow, list(zip(*found, strict=True)))
-        if rows and (found := compare(rows, group[2])):
+        if rows and (found := compare(rows, *group[1:])):
             yield batch(arrow, list(zip(*found, strict=True)))
 
     return arrow_map(met.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high"), run, "a long, b long").distinct()
@@ -297,12 +373,13 @@ def near_duplicates(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     mixed = materialize(placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value"), "mixed")
     rest = materialize(placed.join(mixed, "value"), "apart")
     discard(placed, mixed)
-    x = rest.where(F.col("many") <= SHORT).select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = rest.where(F.col("many") <= SHORT).select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    near = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    crowd = materialize(rest.where(F.col("many") > SHORT).select(F.col("a").alias("family"), "id", "component").distinct(), "families")
+    near = list_pairs(rest, similar)
+    crowd = materialize(rest.where(F.col("many") > SHORT).select("id", "component").distinct(), "crowd")
     known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crossing = estimated(near, classes, similar).unionByName(family_pairs(crowd, classes, similar)).distinct().join(known, ["a", "b"], "left_anti")
+    crossing = estimated(near, classes, similar)
+    if crowd.limit(1).count():
+        crossing = crossing.unionByName(crowd_pairs(crowd, texts, classes, similar))
+    crossing = crossing.distinct().join(known, ["a", "b"], "left_anti")
     more = materialize(crossing, "crossing")
     discard(rest, crowd, stars)
     if same is not None:  # documents join the classes of all of their sets

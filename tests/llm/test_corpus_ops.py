@@ -440,6 +440,47 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, short, block, s
     assert got == brute_components(rows)
 
 
+def test_crowds_of_one_passage_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHORT", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "FREQUENT_FROM", 3)
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(200)]
+    texts = []
+    for own in (10, 14, 18, 25, 60, 90):  # from linked all over to never linked
+        texts += [" ".join(passage + [f"x{r.randrange(10**6)}" for _ in range(own)]) for _ in range(14)]
+    for k in range(0, len(texts), 5):  # and near copies of some
+        w = texts[k].split()
+        w[r.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in neardup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_crowd_pairs_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SHORT", 2)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "FREQUENT_FROM", 2)
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(80)]
+    texts = {}
+    for i in range(40):
+        t = base[:]
+        for _ in range(r.randrange(4)):
+            t[r.randrange(80)] = f"n{r.randrange(1000)}"
+        texts[i] = " ".join(t) + f" end{i}"
+    sets = {i: set(neardup.shingles(t).tolist()) for i, t in texts.items()}
+    component = {i: 0 if i < 30 else i for i in texts}  # most are known to belong together
+    want = {(a, b) for a in texts for b in texts if a < b and component[a] != component[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    table = docs_of(spark, list(texts.items()))
+    classes = neardup.sketches(table.select("doc_id", "text")).selectExpr("doc_id AS id", "n_shingles AS n", "sketch", "buckets")
+    crowd = spark.createDataFrame(list(component.items()), "id long, component long")
+    got = {(x.a, x.b) for x in neardup.crowd_pairs(crowd, table.selectExpr("doc_id AS node", "text"), classes, 85).collect()}
+    assert want and want <= got and all(component[a] != component[b] for a, b in got)
+    assert [neardup.prefix_length(n, 85) for n in (1, 2, 6, 7, 20, 100)] == [1, 1, 1, 2, 4, 16]
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert neardup.near_duplicates(docs_of(spark, [(1, "x")]).where("false")).count() == 0
     rows = neardup.near_duplicates(docs_of(spark, [(2, "a b c d e f"), (2, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f")])).collect()
