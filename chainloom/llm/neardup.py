@@ -37,7 +37,7 @@ SKETCH, MAX_FREQUENT, FREQUENT_FROM = 64, 65_536, 8
 #: where both are equally large), and the union sketch's estimate.
 SHARED_UNDER, ESTIMATE_UNDER = 4.3, 5.6
 #: Members of a star that one task verifies.
-SPREAD = 32
+SPREAD = 128
 #: Longest list whose members meet directly; documents in one block of a family; hash buckets of the overlap bound.
 SHORT, BLOCK, BUCKETS = 32, 512, 512
 REMEMBER = 500_000
