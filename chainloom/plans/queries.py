@@ -13,7 +13,7 @@ from chainloom.functions.suffix import with_suffix
 from chainloom.operators import chaingraph, hmg, initiators, ml, requests, tags, tree
 from chainloom.sources import adapters, logs
 from chainloom.sources.adapters import CHAIN_STEPS_SQL, EVENT_LOG_SQL, HMG_SQL, REQUESTS_SQL, SHAPE_SQL, TREE_SQL, table
-from chainloom.sources.scratch import materialize
+from chainloom.sources.scratch import discard, large, materialize
 from chainloom.sources.tables import last_of_key
 from chainloom.streaming import ingest
 
@@ -535,10 +535,13 @@ def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _crawl(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Events, requests, trees and end urls of printed log lines; the whole way from text to trees, each made once."""
     log = event_lines(spark, sf_dir)
-    parsed = materialize(requests.target_events(logs.events(log, F.col("domain"))), "target-events")
-    asked = materialize(requests.resolve_parents(parsed), "requests")
+    read = materialize(logs.events(log, F.col("domain")), "log-events")  # the filters read events twice
+    parsed = large(materialize(requests.target_events(read), "target-events"))
+    discard(read)
+    asked = large(materialize(requests.resolve_parents(parsed), "requests"))
+    trees = large(materialize(tree.build_trees(asked), "trees"))
     ends = asked.where("resource_type = 'Document'").groupBy("sample_id").agg(F.max_by("request_url", "seq").alias("end_url"))
-    return parsed, asked, materialize(tree.build_trees(asked), "trees"), ends
+    return parsed, asked, trees, large(ends)
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def large(df: DataFrame) -> DataFrame:
+    """A table whose joins sort. Spark takes the size of Parquet files for that of their rows: tables of texts and paths that repeat are
+    small as files, so it would send all their rows to the driver and every executor."""
+    return df.hint("merge")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` wrote and that nothing reads any more."""
     for t in tables:

@@ -44,6 +44,12 @@ def test_no_page_or_url_is_left_out(spark):
     assert {r.a for r in QUERIES["url_key_match"](spark, SF).collect()} == pages
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no data")
+def test_crawled_tables_are_not_broadcast(spark):
+    df = QUERIES["crawl_chain_graph"](spark, SF)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_every_link_is_resolved(spark, tmp_path):
     hrefs = ["/plain", "/caf\u00e9", "rel/x.html", "../up", "./here/../there", "//other.org/a", "https://abs.net/z?q=1#f", "?only=query", "#frag", "/ends.", "../../../too/far", ""]
     urls = ["http://example.com/a/b/c.html?x=1", "https://h.org/"]
