@@ -1,12 +1,12 @@
 """Language-model scores: Brown class-based bigrams.
 
-Every word that makes up one in ``SHARE`` training tokens at least, and occurs ``LEAST`` times at least, is put into a class by exchange: it
+Every word that occurs ``LEAST`` times in training at least, however large the input, is put into a class by exchange: it
 moves to the class that raises the likelihood of the class bigrams most. The most frequent words (``CORE``) and the rare ones by
 their endings move one after the other; then all words move in rounds, each by the counts of the classes around it, which workers take
 over all training texts, and each word's best class is found in a worker. Rarer words have too few neighbours to be placed by them:
 those with one ending (``BUCKETS`` hashes of three letters) share a class, found by exchange as well, and divide its mass by their counts.
-A text's probability is the product of class transitions and word emissions, both smoothed. Workers hold the clustered words (``SHARE`` at
-most, whatever the input); the counts of all others stay in a table and are joined.
+A text's probability is the product of class transitions and word emissions, both smoothed. Driver and workers hold the clustered
+words, of which a larger input has more; the counts of all others stay in a table and are joined.
 
 Cases: null and empty texts are one end token; unseen words count 0; without training texts N and V are 0 and all words
 are equally likely; repeated rows are scored one by one; texts of any length are scored whole; an empty table gives no
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from chainloom.llm.common import arrow_map, batch, discard, doc_table, fold, materialize, read, words
 
-#: A clustered word makes up one training token in so many, and occurs so often: there can't be more than ``SHARE`` of them.
-SHARE, LEAST = 1 << 19, 5
+#: A clustered word occurs so often in training.
+LEAST = 5
 #: Words that are exchanged one after the other, hashes of the endings of rare ones, classes.
 CORE, BUCKETS, CLASSES = 600, 256, 48
 #: Rounds of the exchange over the core and over all clustered words; share of the unigram in transitions; words a worker holds before it hands counts on.
@@ -289,7 +289,7 @@ def sweep(ids: DataFrame, cls: np.ndarray, n_words: int, g: np.ndarray, turn: in
     counts = code_counts(ids, codes, 0)
     by_word = counts.repartition((F.col("code") / width).cast("long")).sortWithinPartitions("code").select("code", "n")
     fresh = cls.copy()
-    got = arrow_map(by_word, run, "word int, cls int").toArrow()  # at most SHARE rows
+    got = arrow_map(by_word, run, "word int, cls int").toArrow()  # a row for each clustered word
     fresh[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return fresh
 
@@ -301,7 +301,7 @@ def cluster(training: DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.ndarr
     of_core = exchange(class_pairs(ids, place), CLASSES)
     cls = of_core[place]
     g = class_pairs(ids, cls)
-    for turn in range(SWEEPS if symbols.first_bucket > CORE else 0):
+    for turn in range(SWEEPS):
         moved = sweep(ids, cls, symbols.first_bucket, g, turn % 2)
         after = class_pairs(ids, moved)
         if log_likelihood(after) > log_likelihood(g):  # words move at once, so a round may overshoot
@@ -330,13 +330,12 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     bucket = F.crc32(F.substring("token", -3, 3).cast("binary")) % BUCKETS
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total["n"] + n_train, total["v"] + (n_train > 0)
-    least = max(LEAST, -(-n // SHARE))
-    known = sorted(((r["token"], r["n"]) for r in counts.where(F.col("n") >= least).collect()), key=lambda x: (-x[1], x[0]))  # at most SHARE
+    known = sorted(((r["token"], r["n"]) for r in counts.where(F.col("n") >= LEAST).collect()), key=lambda x: (-x[1], x[0]))
     symbols = Symbols(known)
     cls, g = cluster(training, symbols)
 
     # what a bucket's words have together: at most BUCKETS rows
-    rare = {r["b"]: (r["n"], r["v"]) for r in counts.where(F.col("n") < least).groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    rare = {r["b"]: (r["n"], r["v"]) for r in counts.where(F.col("n") < LEAST).groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     whole = [rare.get(b, (0, 0)) for b in range(BUCKETS)]
     below = np.log10([a + 0.5 * (m + 1) for a, m in whole])
     base_below = math.log10(n + 0.5 * (v + 1))

@@ -309,6 +309,15 @@ def brute_score(tokens, model, count):
     return total
 
 
+def test_lm_clusters_the_same_words_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARE", 50, raising=False)  # a larger input in small: rare words were left out from a number of tokens on
+    seen, make = [], lm.Symbols
+    monkeypatch.setattr(lm, "Symbols", lambda known: seen.append(known) or make(known))
+    docs = lm.doc_table(table(spark, ["seldom found " * 5 + "never " * 4, "often " * 1000]))
+    assert lm.score(docs, docs).count() == 2
+    assert seen == [[("often", 1000), ("found", 5), ("seldom", 5)]]
+
+
 def test_sweeps_move_words_to_their_best_class(spark):
     rng = np.random.default_rng(4)
     order = rng.integers(0, 12, 4000)
