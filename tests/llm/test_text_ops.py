@@ -318,6 +318,27 @@ def test_lm_clusters_the_same_words_at_any_size(spark, monkeypatch):
     assert seen == [[("often", 1000), ("found", 5), ("seldom", 5)]]
 
 
+def test_lm_holds_few_words_and_scores_the_same(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST", 3)
+    monkeypatch.setattr(lm, "CORE", 6)
+    monkeypatch.setattr(lm, "CLASSES", 5)
+    monkeypatch.setattr(lm, "BLOCK", 16, raising=False)
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(150)] + ["É", "Ab"]
+    texts = [" ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(len(vocabulary))], k=r.randint(0, 60))) for _ in range(120)] + [None, "", "only-here only-here"]
+    docs = lm.doc_table(table(spark, texts)).repartition(3)
+    seen, make = [], lm.Symbols
+    monkeypatch.setattr(lm, "Symbols", lambda known: seen.append(known) or make(known))
+    results = []
+    for held in (1000, 6):
+        monkeypatch.setattr(lm, "HELD", held, raising=False)
+        results.append(sorted(lm.score(docs, docs.where("doc_id % 3 <> 0")).collect()))
+    assert len(seen[0]) > 60 and seen[1] == seen[0][:6]  # the others are in no list of driver or workers
+    assert len(results[0]) == len(texts)
+    for a, b in zip(*results, strict=True):
+        assert a[:4] == b[:4] and b[4:] == pytest.approx(a[4:])
+
+
 def test_sweeps_move_words_to_their_best_class(spark):
     rng = np.random.default_rng(4)
     order = rng.integers(0, 12, 4000)
